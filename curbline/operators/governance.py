@@ -22,7 +22,12 @@ PROHIBITED = (
 )
 
 SPLIT_CAP = 3
-COARSE_DIGITS = 2
+COARSE_CELLS = 100  # per degree
+
+
+def coarse(c) -> Column:
+    """Corner of the grid cell a coordinate lies in."""
+    return F.floor(F.col(c) * COARSE_CELLS) / COARSE_CELLS
 
 
 class LeakageError(ValueError):
@@ -34,8 +39,8 @@ def inference_view(tickets: DataFrame, key: str = "id") -> DataFrame:
     return tickets.select(
         F.col(key).alias("id"),
         masked(ticket_text(F.col("complaint_type"), F.col("descriptor"))).alias("text"),
-        F.round("latitude", COARSE_DIGITS).alias("coarse_latitude"),
-        F.round("longitude", COARSE_DIGITS).alias("coarse_longitude"),
+        coarse("latitude").alias("coarse_latitude"),
+        coarse("longitude").alias("coarse_longitude"),
         "created_date",
     )
 
@@ -134,7 +139,7 @@ def apply_field_policy(df: DataFrame, policy: dict[str, dict[str, str]], destina
     forms = {
         "exact": F.col,
         "masked": lambda c: masked(F.col(c)).alias(c),
-        "coarse": lambda c: F.round(c, COARSE_DIGITS).alias(c),
+        "coarse": lambda c: coarse(c).alias(c),
     }
     rules = policy[destination]
     return df.select(*[forms[rules[c]](c) for c in df.columns if c in rules])

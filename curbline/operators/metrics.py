@@ -346,7 +346,9 @@ def study_summary(df: DataFrame, key: str, margin: float, control: str, reps: in
     return (
         means.join(right, "condition", "left")
         .join(time, "condition", "left")
-        .withColumn("non_inferior", F.col("correct_delta_low") > -margin)
+        .withColumn(
+            "non_inferior", F.coalesce(F.col("correct_delta_low") > -margin, F.lit(True))
+        )
     )
 
 

@@ -28,8 +28,13 @@ def ranged(df: DataFrame, order, ranges: int | None = None) -> DataFrame:
     return settle(laid.withColumn(RANGE, F.spark_partition_id()))
 
 
-def _same_group(left: DataFrame, right: DataFrame, by) -> Column:
-    pairs = [left[c].eqNullSafe(right[c]) for c in (*by, RANGE)]
+def _renamed(df: DataFrame, by) -> DataFrame:
+    """The same rows with their group columns under names that do not clash in a join."""
+    return df.withColumnsRenamed({c: f"_g_{c}" for c in by})
+
+
+def _same_group(by) -> Column:
+    pairs = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
     return reduce(lambda a, b: a & b, pairs)
 
 
@@ -55,12 +60,15 @@ def with_running(
         .orderBy(*_cols(order))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    joined = laid.join(offsets, _same_group(laid, offsets, by), "inner").select(
-        laid["*"], *[offsets[f"_o_{k}"] for k in measures]
-    )
+    group = [*by, RANGE]
+    joined = laid.join(_renamed(offsets, group), _same_group(group))
     return joined.withColumns(
         {k: F.sum(f"_m_{k}").over(inside) + F.col(f"_o_{k}") for k in measures}
-    ).drop(RANGE, *[f"_m_{k}" for k in measures], *[f"_o_{k}" for k in measures])
+    ).drop(
+        RANGE,
+        *[f"_g_{c}" for c in group],
+        *[f"_{kind}_{k}" for k in measures for kind in ("m", "o")],
+    )
 
 
 def with_rank(df: DataFrame, order, by=(), name: str = "rank", ranges=None) -> DataFrame:
@@ -96,10 +104,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by) -> D
     """Nearest-rank quantiles: the smallest value that covers share ``p`` of its group."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     placed = with_running(counted, [F.col(value).asc()], {"_upto": F.col("_n")}, by)
-    size = placed.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    cond = [placed[c].eqNullSafe(size[c]) for c in by]
-    joined = placed.join(size, reduce(lambda a, b: a & b, cond)) if by else placed.crossJoin(size)
-    return joined.groupBy(*[placed[c] for c in by]).agg(
+    size = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    if by:
+        joined = placed.join(_renamed(size, by), _same_group(by))
+    else:
+        joined = placed.join(F.broadcast(size))  # one row
+    return joined.groupBy(*by).agg(
         F.max("_size").alias("n"),
         *[
             F.min(F.when(F.col("_upto") >= F.lit(p) * F.col("_size"), F.col(value))).alias(name)

@@ -126,7 +126,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql(body: str, *ctes: str) -> str:
     """A statement over the given CTEs, in DuckDB's words; the last may be the body's own."""
-    recursive = "RECURSIVE " if any("UNION ALL" in c for c in ctes) else ""
+    recursive = "RECURSIVE " if any("rounds(" in c for c in ctes) else ""
     text = f"WITH {recursive}{', '.join(ctes)} {body}" if ctes else body
     return text.replace("AS STRING)", "AS VARCHAR)")
 

@@ -32,7 +32,7 @@ def duck(sf_dir: str):
 
 def canon(pdf: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA:
             return "NULL"
         if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
             v = v.tolist()
