@@ -11,7 +11,7 @@ from ..operators.similarity import knn_join
 from ..operators.text_vectors import hashed_vectors, pair_distances
 from ..plans import tables as T
 from ..plans.tables import sql
-from ..runtime import settle
+from ..runtime import settle, spread
 from .collect import collection
 from .text import HASHED_SQL, TOKENS_SQL, category_sql
 
@@ -179,7 +179,7 @@ def reports(spark, sf_dir):
     rows = rows.withColumn(
         "created_date", F.when(F.col("event_id") % 17 != 5, F.col("created_date"))
     ).withColumn("latitude", F.when(F.col("event_id") % 13 != 7, F.col("latitude")))
-    vectors = hashed_vectors(T.table(spark, sf_dir, "documents"), "doc_id", "text")
+    vectors = hashed_vectors(spread(T.table(spark, sf_dir, "documents")), "doc_id", "text")
     return rows.join(vectors, rows["event_id"] == vectors["doc_id"]).drop("doc_id")
 
 

@@ -13,6 +13,7 @@ from ..operators.routing import decode_responses, export_requests, ground_truth
 from ..operators.text_vectors import hashed_vectors, term_counts
 from ..plans import tables as T
 from ..plans.tables import sql
+from ..runtime import spread
 from .collect import collection
 
 query, QUERIES, SQL = collection()
@@ -71,7 +72,7 @@ low AS (
 
 
 def _documents(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents")
+    return spread(T.table(spark, sf_dir, "documents"))
 
 
 @query(sql(rf"""

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..runtime import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,7 +75,7 @@ def bare_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").alias("e")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").alias("d")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).alias("d")
     joined = e.join(d, F.col("d.doc_id") == F.col("e.event_id"), "left")
     return joined.select(*_ticket_columns(), F.col("d.text").alias("descriptor"))
 
