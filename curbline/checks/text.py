@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as X, text as N
 from ..functions.redaction import STREET_SUFFIXES, pii_census, redact
 from ..operators.governance import jurisdictions
+from ..operators.landing import vectorize
 from ..operators.monitoring import field_inventory, stratified_sample
 from ..operators.ordering import first_n
 from ..operators.routing import decode_responses, export_requests, ground_truth
@@ -345,6 +346,23 @@ def text_vectors(spark, sf_dir):
     )
 
 
+def _measure(texts):
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS chars,
+       CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks
+FROM documents""")
+def user_vectors(spark, sf_dir):
+    rows = vectorize(_documents(spark, sf_dir), _measure, "doc_id", "text")
+    return rows.select(
+        "doc_id",
+        F.col("vector")[0].cast("bigint").alias("chars"),
+        F.col("vector")[1].cast("bigint").alias("blanks"),
+    )
+
+
 INVENTORY = ("event_type", "user_id", "props")
 
 
