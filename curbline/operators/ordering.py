@@ -102,7 +102,10 @@ def first_n(df: DataFrame, order, n: int) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by) -> DataFrame:
     """Nearest-rank quantiles: the smallest value that covers share ``p`` of its group."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    # The range layout samples its input and the group sizes read it again: count once.
+    counted = settle(
+        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    )
     placed = with_running(counted, [F.col(value).asc()], {"_upto": F.col("_n")}, by)
     size = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:

@@ -50,7 +50,8 @@ def judged_tickets(
         )
     truth = clean_code(F.col("agency"))
     subjects = subjects.withColumn("truth", truth).filter(F.col("truth").isNotNull())
-    cheap = cheap_tier(subjects, tickets, key, "vector", k, max_distance, as_of=as_of)
+    # Used by the cascade and by the cheap tier's own figures: search once.
+    cheap = settle(cheap_tier(subjects, tickets, key, "vector", k, max_distance, as_of=as_of))
     final = select_tier(cheap, *tiers, key=key, cheap_min=cheap_min)
     rows = (
         multi_agency(subjects.select(key, "created_date", "truth", "complaint_type", "descriptor"))
@@ -62,7 +63,8 @@ def judged_tickets(
         .withColumn("correct", F.coalesce(F.col("truth") == F.col("agency"), F.lit(False)))
         .drop("descriptor")
     )
-    split = settle(temporal_split(rows, "created_date", key))
+    # The range layout of the split samples its input first: compute the rows once.
+    split = temporal_split(settle(rows), "created_date", key)
     model = fit_isotonic(split.filter("part = 'calib'"), "confidence", "correct")
     return gate(apply_isotonic(split, "confidence", model))
 
