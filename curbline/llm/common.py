@@ -49,3 +49,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 def attempt_name(stem: str, ending: str) -> str:
     """A file name no other attempt of the same task can use."""
     return f"{stem}-{uuid.uuid4().hex}{ending}"
+
+
+def token_pattern() -> str:
+    """The pattern that splits text before the merges of the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN

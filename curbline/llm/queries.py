@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.collect import collection
-from . import decontamination
-from .common import table
+from . import byte_bpe, classifier, decontamination
+from .common import table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
 
@@ -43,3 +43,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         decontamination.contaminated(n_hit, n_words).alias("contaminated"),
     )
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = classifier.fit(docs, labels.where(~classifier.held_out(F.col("doc_id"))))
+    scored = classifier.score(docs, model)
+    return scored.select(
+        "doc_id",
+        classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the multilingual rank file, and the digest of what they decode to."""
+    path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), token_pattern()
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), path, pattern)
