@@ -28,3 +28,93 @@ def blocks_of(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Ite
         stop = min(max(stop, row + 1), len(column))
         yield batch.slice(row, stop - row), data[offsets[row] : offsets[stop]], offsets[row + 1 : stop + 1] - offsets[row]
         row = stop
+
+
+#: Two odd multipliers for polynomial hashes modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOW[data]
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below n, kept per process."""
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        size = max(n, BLOCK_BYTES + 4096)
+        with np.errstate(over="ignore"):
+            up = np.full(size, np.uint64(base))
+            up[0] = 1
+            down = np.full(size, np.uint64(pow(base, -1, 1 << 64)))
+            down[0] = 1
+            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if size <= 4 * BLOCK_BYTES:
+            _POWERS[base] = have
+    return have
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the entropy of 64-bit hashes over all bits."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Rolling:
+    """Rabin-Karp hashes of any ranges of a sequence of integers."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        self.up, self.down = powers(base, len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=self.sums[1:])
+
+    def ranges(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Hashes of values[start:stop]; equal ranges have equal hashes wherever they stand."""
+        return mixed((self.sums[stops] - self.sums[starts]) * self.down[starts])
+
+    def windows(self, length: int) -> np.ndarray:
+        """Hashes of all runs of ``length`` values."""
+        n = len(self.sums) - length
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
+
+
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, first): byte ranges of words, and where each text's words begin.
+
+    A word is a run of bytes other than space and 0x09-0x0D; ``first`` has one entry more
+    than there are texts. Texts end words.
+    """
+    if len(data) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends) + 1, np.int64)
+    inside = ~_SPACE[data]
+    begins = np.concatenate(([0], ends[:-1]))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[begins] = True
+    edge[len(data)] = True
+    before = np.concatenate(([False], inside))
+    after = np.concatenate((inside, [False]))
+    starts = np.flatnonzero(after & (~before | edge))
+    stops = np.flatnonzero(before & (~after | edge))
+    return starts, stops, np.concatenate((np.searchsorted(starts, begins), [len(starts)]))
+
+
+def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` values the place of its least one, the leftmost of equals."""
+    n = len(h) - width + 1
+    place = np.arange(len(h))
+    span = 1
+    while span < width:  # windows of growing length from two overlapping halves
+        step = min(span, width - span)
+        left, right = place[: len(place) - step], place[step:]
+        place = np.where(h[right] < h[left], right, left)
+        span += step
+    return place[:n]
