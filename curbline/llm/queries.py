@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.collect import collection
-from . import byte_bpe, classifier, decontamination
+from . import byte_bpe, classifier, decontamination, token_files
 from .common import table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
@@ -65,3 +65,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the multilingual rank file, and the digest of what they decode to."""
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), token_pattern()
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, pattern)
+
+
+@query()
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every text to token files and reads them back."""
+    manifest = token_files.written(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return token_files.checksums(manifest)
