@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.collect import collection
-from . import byte_bpe, classifier, decontamination, token_files
+from . import byte_bpe, classifier, decontamination, token_files, warc
 from .common import table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
@@ -72,3 +72,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of every text to token files and reads them back."""
     manifest = token_files.written(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return token_files.checksums(manifest)
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM g
+""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page to WARC archives and reads the archives back."""
+    archives = warc.written(table(spark, sf_dir, "pages"))
+    return warc.read(archives).drop("url")
