@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.collect import collection
-from . import byte_bpe, classifier, decontamination, token_files, warc
-from .common import table, token_pattern, tokenizer_file
+from . import byte_bpe, classifier, decontamination, exact_dedup, token_files, warc
+from .common import shared_folder, table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
 
@@ -86,3 +86,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page to WARC archives and reads the archives back."""
     archives = warc.written(table(spark, sf_dir, "pages"))
     return warc.read(archives).drop("url")
+
+
+@query("""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+""")
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, from an extendible-hash index of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.build(docs, shared_folder(spark, "exact"))
+    return exact_dedup.groups(docs, index)
