@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.collect import collection
-from . import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join, token_files, warc
+from . import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join, substring_dedup, token_files, warc
 from .common import shared_folder, table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
@@ -115,3 +115,20 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingles overlap by 0.75 or more."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+m AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY g) AS again FROM s),
+h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM m WHERE again),
+k AS (SELECT doc_id, p, ws[p] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w) ANTI JOIN h USING (doc_id, p)),
+t AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM k GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(t.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id)
+""")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes words under 50-word windows that an earlier document has."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
