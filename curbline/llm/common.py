@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import scratch_path
+from ..runtime import stored as _stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +57,14 @@ def token_pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, with the shuffle files behind it released.
+
+    Spark drops shuffle files once the driver has collected their plan as garbage; asking
+    for that after each step keeps the disk use that of one step, not of all.
+    """
+    out = _stored(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
 from .buffers import BASES, Rolling, blocks_of, folded, words_of
+from .common import stored
 from .components import components
 
 #: Shingles of the prefixes per bucket of the filter, about.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.collect import collection
-from . import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join, substring_dedup, token_files, warc
+from . import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join, substring_dedup, suffix_dedup, token_files, warc
 from .common import shared_folder, table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
@@ -132,3 +132,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes words under 50-word windows that an earlier document has."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes bytes under 200-byte strings that occur more than once."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
 from .anchors import runs
 from .buffers import BASES, Rolling, blocks_of, words_of
+from .common import stored
 
 GRAM = 8
 RUN = "id long, version long, first int, count int, anchor long, whole long"
