@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buffers import BASES, Rolling, blocks_of, words_of
+from .common import smallest_hashes
 
 MIX = np.uint32(0x9E3779B1)
 
@@ -129,9 +130,8 @@ def fit(
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(F.col(label).cast("double")).alias("_label"))
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(sample)
     )
+    chosen = smallest_hashes(chosen, "_key", sample)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
 
     def count(batches):

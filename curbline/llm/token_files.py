@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attempt_name, opened, shared_folder
+from .common import attempt_name, opened, shared_folder, smallest_hashes
 
 MAGIC = b"TOKZ0001"
-#: Chunks whose ids a worker remembers before it starts anew; a cache, not a limit on input.
-MEMO_CHUNKS = 400_000
+#: Chunks of each of the two generations that a worker remembers; a cache, not a limit on input.
+MEMO_CHUNKS = 500_000
+SIGNS = frozenset(".,;:!?")
 
 
 class ChunkTokenizer:
@@ -50,21 +51,44 @@ class ChunkTokenizer:
         self.library.encode_special_tokens = True
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 10_000):
+            part = chunks[at : at + 10_000]
+            for chunk, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[chunk] = np.array(got.ids, self.width).tobytes()
+
+    def _need(self, chunks: set[str]) -> set[str]:
+        """Those of ``chunks`` that no generation knows; known ones become young."""
+        out = set()
+        for chunk in chunks:
+            have = self.old.get(chunk)
+            if have is None:
+                out.add(chunk)
+            else:
+                self.memo[chunk] = have
+        return out
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Serialized ids of each text, ``end`` last."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        new = list({c for chunks in split for c in chunks}.difference(self.memo))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[chunk] = np.array(got.ids, self.width).tobytes()
+            self.memo, self.old = {}, self.memo
+        new = self._need({c for chunks in split for c in chunks}.difference(self.memo))
+        ended = {c for c in new if len(c) > 1 and c[-1] in SIGNS and c[-2].isalpha() and c[-2] < "\u0250" and c[-2] != "\u0130"}
+        parts = {c[:-1] for c in ended} | {c[-1] for c in ended}
+        self._learn(list(self._need(parts.difference(self.memo, new)) | (new - ended)))
+        for chunk in ended:
+            self.memo[chunk] = self._ids(chunk[:-1]) + self._ids(chunk[-1])
         get = self.memo.__getitem__
         return [b"".join(map(get, chunks)) + end for chunks in split]
 
 
+    def _ids(self, part: str) -> bytes:
+        return self.memo[part]
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
@@ -74,13 +98,9 @@ def train(docs: DataFrame, path: str, key: str, text: str, end_id: int, sample:
     """A raw zstandard dictionary; empty if there is too little text to learn from."""
     import zstandard
 
-    rows = (
-        docs.where(F.length(text) <= longest)
-        .select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
-        .orderBy("h", "k")
-        .limit(sample)
-        .select("h", "t")
-    )
+    short = docs.where((F.length(text) <= longest) & F.col(key).isNotNull())
+    chosen = smallest_hashes(short.select(F.col(key).alias("k")), "k", sample)
+    rows = short.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").orderBy("k", "t").select("t")
     own = tokenizer(path)
     samples = own.encode([r["t"] for r in rows.collect()], np.array([end_id], own.width).tobytes())
     try:
