@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..checks.collect import collection
-from . import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join, substring_dedup, suffix_dedup, token_files, warc
+from . import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join, pseudonyms, substring_dedup, suffix_dedup, token_files, warc
 from .common import shared_folder, table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
@@ -139,3 +141,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes bytes under 200-byte strings that occur more than once."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: A fixed key, so that results can be compared; users bring their own secret.
+DEMO_KEY = b"a key for tests and reports"
+
+
+@query()
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal numbers, dates and addresses under pseudonyms."""
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
