@@ -311,13 +311,8 @@ def search(ids: np.ndarray, sets: list[np.ndarray], percent: int, other=None) ->
     lists = owner[by_token]
     begin = np.concatenate(([0], np.cumsum(np.bincount(token))))
     own = np.concatenate(([0], np.cumsum(sizes)))
-    root = np.arange(len(order))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    group = np.arange(len(order))  # sets found to be connected have equal numbers
+    slots = None if other is None else np.asarray(other)[order]
 
     links = []
     for q in range(1, len(order)):
@@ -347,16 +342,20 @@ def search(ids: np.ndarray, sets: list[np.ndarray], percent: int, other=None) ->
         seen = np.diff(np.concatenate((edge, [len(merged)])))
         close = seen >= need - long
         candidates, seen = merged[edge][close], seen[close]
-        for c, s in sorted(zip(candidates.tolist(), seen.tolist(), strict=True), key=lambda x: -x[1]):
-            if find(c) == find(q) or (other is not None and other[order[c]] == other[order[q]]):
-                continue
-            total, required = s, -(-percent * (n + int(sizes[c])) // (100 + percent))
-            for x, y in zip(a[cut:].tolist(), b[cut:].tolist(), strict=True):
-                at = x + np.searchsorted(lists[x:y], c)
-                total += at < y and lists[at] == c
-            if total >= required:
+        apart = group[candidates] != group[q]
+        if slots is not None:
+            apart &= slots[candidates] != slots[q]
+        candidates, total = candidates[apart], seen[apart].copy()
+        if not len(candidates):
+            continue
+        for x, y in zip(a[cut:].tolist(), b[cut:].tolist(), strict=True):
+            own_list = lists[x:y]
+            total += own_list[np.minimum(np.searchsorted(own_list, candidates), y - x - 1)] == candidates
+        required = -(-percent * (n + sizes[candidates]) // (100 + percent))
+        for c in candidates[total >= required].tolist():
+            if group[c] != group[q]:
                 links.append((int(ids[order[q]]), int(ids[order[c]])))
-                root[find(q)] = find(c)
+                group[group == group[c]] = group[q]
     return links
 
 
@@ -400,7 +399,9 @@ def linked_pairs(sets: DataFrame, families: DataFrame, percent: int) -> DataFram
         if out is not None:
             yield out
 
-    return tiles.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+    # As many tasks as the session shuffles to: the search costs more than its bytes tell.
+    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(width, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
