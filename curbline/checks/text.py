@@ -79,10 +79,9 @@ def _documents(spark, sf_dir):
 @query(sql(rf"""
 SELECT id, {strip_sql("regexp_replace(regexp_replace(complaint_type || ': ' || coalesce(descriptor, ''), '^[: ]+', ''), '[: ]+$', '')")}
          AS text
-FROM tickets WHERE descriptor IS NOT NULL""", T.TICKETS_SQL))
+FROM tickets""", T.TICKETS_SQL))
 def ticket_text(spark, sf_dir):
-    rows = T.tickets(spark, sf_dir).filter(F.col("descriptor").isNotNull())
-    return rows.select(
+    return T.tickets(spark, sf_dir).select(
         "id", N.ticket_text(F.col("complaint_type"), F.col("descriptor")).alias("text")
     )
 
@@ -234,9 +233,10 @@ def type_prior(spark, sf_dir):
     return rows.groupBy("complaint_type", "prior").agg(F.count("*").alias("n"))
 
 
-# A model answer per scored event: good, chatty, out of the set, prose, cut off, or failed.
+# A model answer per scored event: good, chatty, out of the set, prose, cut off, not strict
+# JSON, two objects, a confidence that is null, text or true, or failed.
 ANSWER = """
-  CASE event_id % 8
+  CASE event_id % 16
     WHEN 0 THEN concat('{"agency": "', truth, '", "confidence": ', CAST(k AS STRING), '}')
     WHEN 1 THEN concat('Sure: {"agency": "', lower(truth), ' ", "confidence": 0.', CAST(k AS STRING),
                        '} - hope it helps')
@@ -245,6 +245,12 @@ ANSWER = """
     WHEN 4 THEN concat('{"agency": "', truth, '"')
     WHEN 5 THEN concat('{"agency": "', truth, '", "confidence": -0.5}')
     WHEN 6 THEN concat('{"agency": "', truth, '"}')
+    WHEN 8 THEN concat('{', chr(39), 'agency', chr(39), ': "', truth, '", "confidence": 0.9}')
+    WHEN 9 THEN concat('{"agency": "', truth, '", "confidence": 0.9} or {"agency": "DEP"}')
+    WHEN 10 THEN concat('{"agency": "', truth, '", "confidence": null}')
+    WHEN 11 THEN concat('{"agency": "', truth, '", "confidence": "0.9d"}')
+    WHEN 12 THEN concat('{"agency": "', truth, '", "confidence": true}')
+    WHEN 13 THEN concat('{"agency": "', truth, '", "confidence": "0.4"}')
     ELSE concat('{"agency": "', truth, '", "confidence": 0.8}') END
 """
 RESPONSES_SQL = f"""
@@ -257,18 +263,20 @@ responses AS (
 ), parsed AS (
   SELECT *, upper(trim(CASE WHEN json_valid(span) THEN json_extract_string(span, '$.agency') END))
               AS a,
-         coalesce(CASE WHEN json_valid(span)
-                       THEN TRY_CAST(json_extract_string(span, '$.confidence') AS DOUBLE) END, 0.0)
-              AS c
+         CASE WHEN NOT json_valid(span) THEN NULL
+              WHEN json_type(span, '$.confidence') IS NULL THEN 0.0
+              WHEN json_type(span, '$.confidence') = 'BOOLEAN'
+              THEN CASE json_extract_string(span, '$.confidence') WHEN 'true' THEN 1.0 ELSE 0.0 END
+              ELSE TRY_CAST(json_extract_string(span, '$.confidence') AS DOUBLE) END AS c
   FROM spans
 ), decoded AS (
   SELECT ticket_id,
-         CASE WHEN NOT failed AND a IN ('DEP', 'DOT', 'DPR', 'HPD', 'DOB', 'NYPD', 'DSNY')
+         CASE WHEN NOT failed AND c IS NOT NULL AND a IN ('DEP', 'DOT', 'DPR', 'HPD', 'DOB', 'NYPD', 'DSNY')
               THEN a END AS agency,
-         CASE WHEN NOT failed AND a IN ('DEP', 'DOT', 'DPR', 'HPD', 'DOB', 'NYPD', 'DSNY')
+         CASE WHEN NOT failed AND c IS NOT NULL AND a IN ('DEP', 'DOT', 'DPR', 'HPD', 'DOB', 'NYPD', 'DSNY')
               THEN greatest(0.0, least(1.0, c)) ELSE 0.0 END AS confidence,
          tier || CASE WHEN failed THEN '-error'
-                      WHEN a IN ('DEP', 'DOT', 'DPR', 'HPD', 'DOB', 'NYPD', 'DSNY') THEN ''
+                      WHEN c IS NOT NULL AND a IN ('DEP', 'DOT', 'DPR', 'HPD', 'DOB', 'NYPD', 'DSNY') THEN ''
                       ELSE '-malformed' END AS tier
   FROM parsed
 )"""
@@ -289,15 +297,17 @@ def model_answers(spark, sf_dir):
 
 
 @query(sql(rf"""
-SELECT id, {mask_sql("complaint_type || ': ' || " + strip_sql("regexp_replace(descriptor, '[: ]+$', '')"))} AS request,
+SELECT id, {mask_sql(strip_sql("regexp_replace(regexp_replace(complaint_type || ': ' || coalesce(descriptor, ''), '^[: ]+', ''), '[: ]+$', '')"))} AS request,
        'DEP, DOB, DOT, DPR, DSNY, HPD, NYPD' AS allowed
-FROM tickets WHERE descriptor IS NOT NULL""", T.TICKETS_SQL))
+FROM tickets WHERE event_id % 10 < 7 OR coalesce(complaint_type, '') NOT IN
+     ('Water System', 'Sewer', 'Street Condition', 'Noise - Residential', 'Plumbing')""", T.TICKETS_SQL))
 def escalation_export(spark, sf_dir):
-    rows = T.tickets(spark, sf_dir).filter(F.col("descriptor").isNotNull())
+    rows = T.tickets(spark, sf_dir)
+    # Three in ten tickets have a confident cheap prediction if their type has a usual agency.
     cheap = rows.select(
         "id",
         X.usual_agency(F.col("complaint_type")).alias("agency"),
-        F.lit(0.5).alias("confidence"),
+        F.when(F.col("event_id") % 10 < 7, 0.5).otherwise(0.9).alias("confidence"),
     )
     return export_requests(rows, cheap, "id")
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.taxonomy import COMPLAINT_AGENCY
-from ..sources.schemas import RAW_REQUEST, TICKET
+from ..sources.schemas import BROKEN, RAW_REQUEST, TICKET
 
 # Fixed value: mean days per month of the trailing window.
 DAYS_PER_MONTH = 30.4375
@@ -37,6 +37,19 @@ def filter_requests(
     return df
 
 
+# Number and time texts that count as such; what casts take beyond them is malformed.
+NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+TIME = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+([+-][0-9:]+|Z)?)?\s*$"
+
+
+def _number(text):
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def _time(text):
+    return F.when(text.rlike(TIME), F.try_to_timestamp(text))
+
+
 def normalize(raw: DataFrame, keep=()) -> DataFrame:
     """Typed ticket fields; text that does not parse becomes NULL (see ``malformed``).
 
@@ -48,10 +61,10 @@ def normalize(raw: DataFrame, keep=()) -> DataFrame:
         "complaint_type",
         "descriptor",
         F.nullif(F.upper("borough"), F.lit("")).alias("borough"),
-        F.nullif("latitude", F.lit("")).try_cast("double").alias("latitude"),
-        F.nullif("longitude", F.lit("")).try_cast("double").alias("longitude"),
-        F.try_to_timestamp(F.nullif("created_date", F.lit(""))).alias("created_date"),
-        F.try_to_timestamp(F.nullif("closed_date", F.lit(""))).alias("closed_date"),
+        _number(F.nullif("latitude", F.lit(""))).alias("latitude"),
+        _number(F.nullif("longitude", F.lit(""))).alias("longitude"),
+        _time(F.nullif("created_date", F.lit(""))).alias("created_date"),
+        _time(F.nullif("closed_date", F.lit(""))).alias("closed_date"),
         *keep,
     )
 
@@ -64,8 +77,14 @@ def malformed(raw: DataFrame) -> DataFrame:
         return F.when(given.isNotNull() & parsed(given).isNull(), F.lit(f"bad {column}"))
 
     checks = [F.when(F.col("unique_key").isNull(), F.lit("no unique_key"))]
-    checks += [bad(c, lambda v: v.try_cast("double")) for c in ("latitude", "longitude")]
-    checks += [bad(c, F.try_to_timestamp) for c in ("created_date", "closed_date")]
+    if BROKEN in raw.columns:
+        checks = [
+            F.when(F.col(BROKEN).isNotNull(), F.lit("unreadable")).when(
+                F.col("unique_key").isNull(), F.lit("no unique_key")
+            )
+        ]
+    checks += [bad(c, _number) for c in ("latitude", "longitude")]
+    checks += [bad(c, _time) for c in ("created_date", "closed_date")]
     return raw.withColumn("reasons", F.array_compact(F.array(*checks)))
 
 
@@ -74,11 +93,14 @@ def watermark(tickets: DataFrame, ts: str = "created_date") -> DataFrame:
 
 
 def delta(landing: DataFrame, tickets: DataFrame, ts: str = "created_date") -> DataFrame:
-    """Landing rows at or after the newest ticket; all rows while there is none."""
-    cursor = F.broadcast(watermark(tickets, ts))  # one row
-    return landing.join(
-        cursor, F.col("watermark").isNull() | (F.col(ts) >= F.col("watermark")), "inner"
-    ).drop("watermark")
+    """Landing rows at or after the newest ticket; all rows while there is none.
+
+    The newest time is read first, so that the scan gets a literal it can prune by.
+    """
+    newest = watermark(tickets, ts).select(F.col("watermark").cast("string")).first()[0]
+    if newest is None:
+        return landing
+    return landing.filter(F.col(ts) >= F.lit(newest).cast(landing.schema[ts].dataType))
 
 
 def backfill_window(months: int, now: datetime) -> tuple[datetime, datetime]:
@@ -107,7 +129,12 @@ def _latest(df: DataFrame, key: str, order, pick) -> DataFrame:
 
 
 def land_raw(existing: DataFrame, incoming: DataFrame, order: str = "ingested_at") -> DataFrame:
-    """Keep the first payload per key; known keys are left as they are."""
+    """Keep the first payload per key; known keys are left as they are.
+
+    Rows without a key are not landed: no later run could tell them from new ones. They
+    are ``quarantine``'s to report.
+    """
+    incoming = incoming.filter(F.col("unique_key").isNotNull())
     first = _latest(incoming, "unique_key", F.col(order), F.min_by)
     fresh = first.join(existing.select("unique_key"), "unique_key", "left_anti")
     return existing.unionByName(fresh.select(existing.columns))
@@ -125,7 +152,11 @@ NORMALISED = (
 
 
 def upsert_tickets(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    """Take normalised fields from the last incoming row per key, keep lifecycle fields."""
+    """Take normalised fields from the last incoming row per key, keep lifecycle fields.
+
+    Rows without a key are not taken; they are ``quarantine``'s to report.
+    """
+    incoming = incoming.filter(F.col("unique_key").isNotNull())
     last = _latest(incoming, "unique_key", F.col(order), F.max_by)
     new = last.select(
         "unique_key",

@@ -7,6 +7,7 @@ Loops and range layouts need their lineage cut. They do so only with
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,11 +33,16 @@ def local_session(app: str = "curbline", cores: str = "8", shuffle: int = 8) ->
     return spark
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read; a temporary one only if none is named."""
+    """The folder every executor can read; on a local master a temporary one if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if not named and not current:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="curbline-"))
     elif named and not current:
         spark.sparkContext.setCheckpointDir(named)
@@ -45,7 +51,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for tables a job writes for itself."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    if not _scratch:
+        atexit.register(_release_at_exit)
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables of this process; results that read them end here.
+
+    Happens by itself when the driver ends with its session still open.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count
+
+
+def _release_at_exit() -> None:
+    session = SparkSession.getActiveSession()
+    if session is not None and session.sparkContext._jsc is not None:
+        release(session)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from .schemas import LABELLED_PAIR, RAW_REQUEST
+from .schemas import BROKEN, LABELLED_PAIR, LANDED_REQUEST, RAW_REQUEST
 
 
 def read_landing(
     spark: SparkSession, path: str, max_records: int | None = None, fmt: str = "json"
 ) -> DataFrame:
-    """Landed request records (JSON lines, CSV with header, or Parquet)."""
-    reader = spark.read.schema(RAW_REQUEST)
+    """Landed request records (JSON lines, CSV with header, or Parquet).
+
+    Lines of text formats that do not parse come with NULL fields and their text in
+    ``_corrupt_record``; ``quarantine`` reports them.
+    """
+    reader = spark.read.schema(RAW_REQUEST if fmt == "parquet" else LANDED_REQUEST)
     if fmt == "csv":
         reader = reader.option("header", True)
     rows = reader.format(fmt).load(path)
@@ -29,8 +34,15 @@ def read_landing_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled text pairs, one JSON object per line; blank lines are skipped."""
-    return spark.read.schema(LABELLED_PAIR).json(path).filter(F.col("text_a").isNotNull())
+    """Labelled text pairs, one JSON object per line; blank lines are skipped.
+
+    A line that does not parse, or lacks a text or the label, stops the job and is named.
+    """
+    rows = spark.read.schema(StructType([*LABELLED_PAIR.fields]).add(BROKEN, "string")).json(path)
+    usable = F.col(BROKEN).isNull() & F.col("text_a").isNotNull() & F.col("text_b").isNotNull() & F.col("label").isNotNull()
+    message = F.concat(F.lit("unusable pair: "), F.coalesce(BROKEN, F.to_json(F.struct("text_a", "text_b", "label"))))
+    checked = F.when(usable, F.col("text_a")).otherwise(F.raise_error(message).cast("string"))
+    return rows.withColumn("text_a", checked).drop(BROKEN)
 
 
 def write_snapshot(df: DataFrame, path: str, ts: str | None = "created_date") -> None:

@@ -33,6 +33,9 @@ RAW_REQUEST = _struct(
     longitude=_S,
     status=_S,
 )
+# As landed: a line that cannot be parsed keeps its text in the last column.
+BROKEN = "_corrupt_record"
+LANDED_REQUEST = StructType([*RAW_REQUEST.fields, StructField(BROKEN, _S)])
 RAW_RECORD = _struct(unique_key=_S, payload=_S, ingested_at=_T)
 TICKET = _struct(
     id=_S,
