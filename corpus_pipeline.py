@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbline.llm import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join
-from curbline.llm.common import stored, table, token_pattern, tokenizer_file
+from curbline.llm.common import fresh, stored, table, token_pattern, tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled ones vote good."""
     labels = table(spark, sf_dir, "labels")
     model = classifier.fit(docs, labels.where(~classifier.held_out(F.col("doc_id"))))
-    return classifier.score(docs, model, name="_score").where("_score >= 0.5").drop("_score")
+    vote = fresh(docs, "vote")
+    return classifier.score(docs, model, name=vote).where(F.col(vote) >= 0.5).drop(vote)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

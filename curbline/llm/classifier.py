@@ -201,5 +201,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 
 def held_out(key: Column) -> Column:
-    """The fold that no fit may see."""
-    return F.crc32(key.cast("string").cast("binary")) % 3 == 1
+    """The fold that no fit may see; NULL keys are outside it."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -48,6 +48,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return uri
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def attempt_name(stem: str, ending: str) -> str:
     """A file name no other attempt of the same task can use."""
     return f"{stem}-{uuid.uuid4().hex}{ending}"

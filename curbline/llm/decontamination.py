@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, fresh
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -171,6 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     if action == "document":
         drop = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(key).distinct()
         return docs.join(drop, key, "left_anti")
-    clean = found.groupBy(F.col(key).alias("_key")).agg(F.max("clean_text").alias("_clean"))
-    joined = docs.join(clean, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return joined.select(*(F.coalesce("_clean", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    other, new = fresh(docs, "other"), fresh(docs, "new")
+    clean = found.groupBy(F.col(key).alias(other)).agg(F.max("clean_text").alias(new))
+    joined = docs.join(clean, F.col(key).eqNullSafe(F.col(other)), "left")
+    return joined.select(*(F.coalesce(new, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))

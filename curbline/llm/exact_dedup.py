@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buffers import blocks_of, folded
-from .common import opened, shared_folder
+from .common import fresh, opened, shared_folder
 
 #: Bits by which one round of counts looks further into the keys.
 STEP = 12
@@ -264,6 +264,6 @@ def groups(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of equal texts, with the columns it came with."""
-    index = build(docs, shared_folder(docs.sparkSession, "exact"), key, text)
-    drop = groups(docs, index, key, text).where(~F.col("kept")).select(F.col(key).alias("_drop"))
-    return docs.join(drop, F.col(key) == F.col("_drop"), "left_anti")
+    index, gone = build(docs, shared_folder(docs.sparkSession, "exact"), key, text), fresh(docs, "gone")
+    drop = groups(docs, index, key, text).where(~F.col("kept")).select(F.col(key).alias(gone))
+    return docs.join(drop, F.col(key) == F.col(gone), "left_anti")

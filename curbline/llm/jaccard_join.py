@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import BASES, Rolling, blocks_of, folded, words_of
-from .common import stored
+from .buffers import BASES, Rolling, blocks_of, folded, mixed, words_of
+from .common import fresh, stored
 from .components import components
 
 #: Shingles of the prefixes per bucket of the filter, about.
@@ -244,8 +244,39 @@ def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, "id long, n long, set binary")
 
 
+def _packed_sets(bucket: np.ndarray, tokens: np.ndarray, owners: np.ndarray, ids: np.ndarray, sizes: np.ndarray, times: np.ndarray):
+    """Rows of (bucket, tokens, names, short, flags): names are pairs of id and set size, flags hold ``times``."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, tokens, owners, times = bucket[order], tokens[order], owners[order], times[order]
+    cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+        used, short = np.unique(owners[a:b], return_inverse=True)
+        names = np.column_stack([ids[used], sizes[used]]).astype("<i8")
+        out.append((int(bucket[a]), tokens[a:b].tobytes(), names.tobytes(), short.astype("<u4").tobytes(), times[a:b].astype("<u4").tobytes()))
+    return out
+
+
+def _whole_buckets(batches):
+    """(tokens, ids, sizes, times) of one bucket after the other, from rows sorted by bucket."""
+    at, held = None, []
+    for batch in batches:
+        for bucket, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "names", "short", "flags")), strict=True):
+            if bucket != at and held:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            at = bucket
+            names = np.frombuffer(packed[1], "<i8").reshape(-1, 2)[np.frombuffer(packed[2], "<u4")]
+            held.append((np.frombuffer(packed[0], np.uint64), names[:, 0], names[:, 1], np.frombuffer(packed[3], "<u4")))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def rare_prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(token, id): of sets with at least T shared elements, the rarest shared - T + 1 of those."""
+    """(token, id): of sets with at least T shared elements, the rarest shared - T + 1 of those.
+
+    Shingles go packed to buckets that count them, and back packed to groups of sets.
+    """
 
     def send(batches):
         for batch in batches:
@@ -253,47 +284,36 @@ def rare_prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
             for a in range(0, len(ids), 256):
                 part = [np.frombuffer(s, np.uint64) for s in packed[a : a + 256]]
                 tokens = np.concatenate(part)
-                owners = np.repeat(ids[a : a + 256], [len(s) for s in part])
+                sizes = np.array([len(s) for s in part])
+                owners = np.repeat(np.arange(len(part)), sizes)
+                bucket = (tokens >> np.uint64(20)) % np.uint64(buckets)
                 if len(tokens):
-                    yield _packed_batch(_bucket_rows(tokens, owners, np.zeros(len(tokens), bool), buckets))
+                    yield _packed_batch(_packed_sets(bucket, tokens, owners, ids[a : a + 256], sizes, np.zeros(len(tokens))))
 
     def frequency(batches):
-        for held in _by_bucket(batches):
-            tokens, owners, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+        for tokens, ids, sizes, _ in _whole_buckets(batches):
             _, group, times = np.unique(tokens, return_inverse=True, return_counts=True)
             often = times[group] > 1
-            tokens, owners, times = tokens[often], owners[often], times[group][often]
-            order = np.argsort(owners, kind="stable")
-            tokens, owners, times = tokens[order], owners[order], times[order]
-            if not len(owners):
+            if not often.any():
                 continue
-            cuts = (np.flatnonzero(np.diff(owners)) + 1).tolist()
-            rows = [
-                (int(owners[a]), tokens[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes())
-                for a, b in zip([0, *cuts], [*cuts, len(owners)], strict=True)
-            ]
-            for at in range(0, len(rows), 4096):
-                ids, t, f = zip(*rows[at : at + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(t, pa.binary()), pa.array(f, pa.binary())], ["id", "tokens", "times"])
+            names, first, owners = np.unique(ids[often], return_index=True, return_inverse=True)
+            home = mixed(names.view(np.uint64)) % np.uint64(buckets)
+            yield _packed_batch(_packed_sets(home[owners], tokens[often], owners, names, sizes[often][first], times[group][often]))
 
     def choose(batches):
-        for batch in batches:
-            out_t, out_i = [], []
-            for i, n, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "parts")), strict=True):
-                tokens = np.concatenate([np.frombuffer(p["tokens"], np.uint64) for p in parts])
-                times = np.concatenate([np.frombuffer(p["times"], np.uint32) for p in parts])
-                need = len(tokens) - int(least_overlap(n, percent)) + 1
-                if need > 0:
-                    first = np.lexsort((tokens, times))[:need]
-                    out_t.append(tokens[first])
-                    out_i.append(np.full(need, i, np.int64))
-            if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_i))], ["token", "id"])
-
-    packed = sets.select("id", "set").mapInArrow(send, PACKED)
-    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frequency, "id long, tokens binary, times binary")
-    per_set = found.groupBy("id").agg(F.collect_list(F.struct("tokens", "times")).alias("parts"))
-    return sets.select("id", "n").join(per_set, "id").mapInArrow(choose, "token long, id long")
+        for tokens, ids, sizes, times in _whole_buckets(batches):
+            order = np.lexsort((tokens, times, ids))
+            tokens, ids, sizes = tokens[order], ids[order], sizes[order]
+            _, first, owner, count = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+            need = count - least_overlap(sizes[first], percent) + 1
+            kept = np.arange(len(ids)) - first[owner] < need[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[kept].view(np.int64)), pa.array(ids[kept])], ["token", "id"])
+
+    def grouped(rows):
+        return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+    counted = grouped(sets.select("id", "set").mapInArrow(send, PACKED)).mapInArrow(frequency, PACKED)
+    return grouped(counted).mapInArrow(choose, "token long, id long")
 
 
 def search(ids: np.ndarray, sets: list[np.ndarray], percent: int, other=None) -> list[tuple[int, int]]:
@@ -419,8 +439,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     promised = F.greatest(F.lit(1), F.floor(smallest / 10))
     left = stored(distinct.join(counts, "h1").where(F.col("shared") >= promised).select("rep"), "similar-sets")
     few = left.count() <= BROADCAST_SETS
-    chosen = docs.where(F.col(key).isNotNull()).join(F.broadcast(left) if few else left, F.col(key) == F.col("rep"), "left_semi")
-    full = stored(full_sets(chosen, key, text, size).dropDuplicates(["id"]), "full-sets")
+    chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(left) if few else left, F.col("id") == F.col("rep"), "left_semi")
+    full = stored(full_sets(chosen, "id", "text", size).dropDuplicates(["id"]), "full-sets")
     rare = stored(rare_prefixes(full, percent, max(16, int((full.agg(F.sum("n").alias("t")).first()["t"] or 0) // BUCKET) + 1)), "rare")
     heads = rare.groupBy("token").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
     edges = rare.join(heads, "token").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
@@ -435,6 +455,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """One document of each group, that with the smallest id, with the columns it came with."""
-    found = near_duplicates(docs, key, text, size, percent)
-    drop = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_drop")).distinct()
-    return docs.join(drop, F.col(key) == F.col("_drop"), "left_anti")
+    found, gone = near_duplicates(docs, key, text, size, percent), fresh(docs, "gone")
+    drop = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone)).distinct()
+    return docs.join(drop, F.col(key) == F.col(gone), "left_anti")
