@@ -84,20 +84,20 @@ def contamination(
     text: str = "text",
     item: str = "item_id",
     item_text: str = "text",
-    with_text: bool = False,
+    positions: bool = False,
 ) -> DataFrame:
-    """(key, n_words, n_hit, items) per document; ``with_text`` adds ``clean_text``.
+    """(key, n_words, n_hit, items) per document.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items`` lists the items
-    with occurring windows, sorted. ``clean_text`` has the words that are not hit, joined by
-    spaces, for documents with hits and NULL for others.
+    with occurring windows, sorted. ``positions`` adds ``hit``, the places of those words, and
+    ``version``, the hash of the text.
     """
     windows = benchmark_windows(benchmark, n, item, item_text)
     # One row: the number of windows and the window lengths, at most n of them.
     facts = windows.agg(F.count("*").alias("rows"), F.collect_set("length").alias("lengths")).first()
     lengths = sorted(facts["lengths"])
     small = facts["rows"] * max(1, n // 2) <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if small else (lambda df: df.hint("merge"))
 
     spark = docs.sparkSession
     marks = spark.range(MARKS).select(F.col("id").alias("block"))
@@ -118,16 +118,10 @@ def contamination(
     looked_up = F.array(mark)
     for b in sorted({(length + 1) // 2 for length in lengths}):
         looked_up = F.concat(looked_up, _blocks(F.col("_words"), b))
-    rows = words.select(
-        "_id", "_version", "_text", F.size("_words").alias("_n"), F.array_distinct(looked_up).alias("_blocks")
-    ).select("_id", "_version", "_text", "_n", F.explode_outer("_blocks").alias("block"))
-    found = rows.join(hint(blocks), "block").select(
-        "_id", "_version", "_n", F.when(~F.col("block").between(0, MARKS - 1), F.col("_text")).alias("_text")
-    )
-    per_doc = found.groupBy("_id", "_version").agg(F.max("_n").alias("_n"), F.max("_text").alias("_text"))
+    per_doc = _first_pass(words, F.array_distinct(looked_up), hint(blocks), small)
 
     # Exact pass over the documents with hits; those without bring an empty list and one mark.
-    exact = per_doc.select("_id", "_version", "_n", "_text", folded_words(F.col("_text")).alias("_words"))
+    exact = per_doc.select("_id", "_version", "_n", folded_words(F.col("_text")).alias("_words"))
     candidates = F.array().cast("array<struct<length:int,start:int,gram:string>>")
     for length in lengths:
         candidates = F.concat(candidates, _placed_grams("_words", length))
@@ -136,24 +130,37 @@ def contamination(
         F.lit(0).alias("length"), F.lit("").alias("gram"), F.array().cast("array<string>").alias("items")
     )
     exploded = exact.select(
-        "_id", "_version", "_n", "_text", F.explode_outer(F.concat(F.array(nothing), candidates)).alias("w")
-    ).select("_id", "_version", "_n", "_text", "w.length", "w.start", "w.gram")
+        "_id", "_version", "_n", F.explode_outer(F.concat(F.array(nothing), candidates)).alias("w")
+    ).select("_id", "_version", "_n", "w.length", "w.start", "w.gram")
     matched = exploded.join(hint(windows.unionByName(mark_row)), ["length", "gram"])
     hit = F.when(F.col("length") > 0, F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))
     out = matched.groupBy("_id", "_version").agg(
         F.max("_n").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list(hit))).alias("_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        *([F.max("_text").alias("_text")] if with_text else []),
     )
     columns = [F.col("_id").alias(key), "n_words", F.size("_hit").alias("n_hit"), "items"]
-    if with_text:
-        whole = F.array_remove(F.split(F.coalesce("_text", F.lit("")), SEPARATOR_ANY_CASE), "")
-        left = F.filter(whole, lambda w, i: ~F.array_contains("_hit", i))
-        columns.append(F.when(F.size("_hit") > 0, F.array_join(left, " ")).alias("clean_text"))
+    if positions:
+        columns += [F.col("_hit").alias("hit"), F.col("_version").alias("version")]
     return out.select(*columns)
 
 
+def _first_pass(words: DataFrame, looked_up: Column, blocks: DataFrame, small: bool) -> DataFrame:
+    """(_id, _version, _n, _text) per document; the text only where a block is found."""
+    real = ~F.col("block").between(0, MARKS - 1)
+    if small:  # the text stays beside the rows of its blocks in the task, and goes on once
+        rows = words.select("_id", "_version", "_text", F.size("_words").alias("_n"), looked_up.alias("_blocks"))
+        rows = rows.select("_id", "_version", "_text", "_n", F.explode_outer("_blocks").alias("block"))
+        found = rows.join(blocks, "block").select("_id", "_version", "_n", F.when(real, F.col("_text")).alias("_text"))
+        return found.groupBy("_id", "_version").agg(F.max("_n").alias("_n"), F.max("_text").alias("_text"))
+    rows = words.select("_id", "_version", F.size("_words").alias("_n"), looked_up.alias("_blocks"))
+    rows = rows.select("_id", "_version", "_n", F.explode_outer("_blocks").alias("block"))
+    found = rows.join(blocks, "block").groupBy("_id", "_version").agg(F.max("_n").alias("_n"), F.max(real).alias("_found"))
+    texts = words.select(F.col("_id").alias("_id2"), F.col("_version").alias("_version2"), "_text").dropDuplicates(["_id2", "_version2"])
+    same = F.col("_found") & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_version") == F.col("_version2"))
+    return found.join(texts, same, "left").select("_id", "_version", "_n", "_text")
+
+
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """The rule for dropping a document: a twentieth of its words or more are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
@@ -167,11 +174,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     """
     if action not in ("document", "span"):
         raise ValueError("action is 'document' or 'span'")
-    found = contamination(docs, benchmark, n, key, with_text=action == "span").where(F.col("n_hit") > 0)
+    found = contamination(docs, benchmark, n, key, positions=action == "span").where(F.col("n_hit") > 0)
     if action == "document":
         drop = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(key).distinct()
         return docs.join(drop, key, "left_anti")
-    other, new = fresh(docs, "other"), fresh(docs, "new")
-    clean = found.groupBy(F.col(key).alias(other)).agg(F.max("clean_text").alias(new))
-    joined = docs.join(clean, F.col(key).eqNullSafe(F.col(other)), "left")
-    return joined.select(*(F.coalesce(new, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    other, hit, version = (fresh(docs, c) for c in ("other", "hit", "version"))
+    found = found.select(F.col(key).alias(other), F.col("hit").alias(hit), F.col("version").alias(version))
+    joined = docs.join(found, F.col(key).eqNullSafe(F.col(other)) & (F.xxhash64("text") == F.col(version)), "left")
+    whole = F.array_remove(F.split(F.coalesce("text", F.lit("")), SEPARATOR_ANY_CASE), "")
+    left = F.array_join(F.filter(whole, lambda w, i: ~F.array_contains(F.col(hit), i)), " ")
+    clean = F.when(F.col(hit).isNotNull(), left).otherwise(F.col("text"))
+    return joined.select(*(clean.alias("text") if c == "text" else F.col(c) for c in docs.columns))
