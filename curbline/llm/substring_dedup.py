@@ -5,8 +5,10 @@ window over it occurs in a document with a smaller id. All windows are judged on
 
 1. Tasks group each document's windows to runs by anchors (see ``anchors``) and send one narrow
    row per run. Spark counts anchors; runs whose anchor no other document has are settled.
-2. Where all runs of an anchor are equal, the smallest id settles them as a whole.
-3. The windows of the remaining runs get 128-bit Rabin-Karp hashes, which Spark counts.
+2. A run that an earlier document has too is gone as a whole, whatever else its anchor has.
+   The first owner of a run goes on only if its anchor has different runs: any earlier owner of
+   a window owns it in a run that is first there.
+3. The windows of those runs get 128-bit Rabin-Karp hashes, which Spark counts.
 4. Repeated windows merge into maximal intervals per document, and their words are removed.
 
 Equal content is decided by 128 hash bits. Counting combines map-side and the joins back are plain
@@ -79,8 +81,11 @@ def undecided_runs(found: DataFrame) -> DataFrame:
         .where("least < most")
         .select("anchor", "least", (F.col("w1") == F.col("w2")).alias("equal"))
     )
-    open_ = found.join(anchors, "anchor").where("not equal or id > least")
-    return open_.groupBy("id", "version").agg(F.collect_list(F.struct("first", "count", F.col("equal").alias("gone"))).alias("runs"))
+    open_ = stored(found.join(anchors, "anchor"), "repeated-runs")
+    firsts = open_.groupBy("anchor", "whole").agg(F.min("id").alias("owner"))
+    judged = open_.join(firsts, ["anchor", "whole"]).where("id > owner or not equal")
+    runs = F.collect_list(F.struct("first", "count", (F.col("id") > F.col("owner")).alias("gone")))
+    return judged.groupBy("id", "version").agg(runs.alias("runs"))
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
