@@ -201,7 +201,7 @@ class Encoder:
         split = [self.find(t) if t else [] for t in texts]
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        new = list({p for pieces in split for p in pieces}.difference(self.memo))
+        new = list(set().union(*split).difference(self.memo))
         for piece, ids in zip(new, self.vocabulary.encode_pieces([p.encode() for p in new]), strict=True):
             self.memo[piece] = ids.astype("<u4").tobytes()
         get = self.memo.__getitem__

@@ -20,7 +20,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import io
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +56,13 @@ class ChunkTokenizer:
         self.old: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
+        if sys.byteorder != "little":
+            raise RuntimeError("token files are written on little-endian machines")
+        code = "H" if self.width.itemsize == 2 else "I"
         for at in range(0, len(chunks), 10_000):
             part = chunks[at : at + 10_000]
             for chunk, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[chunk] = np.array(got.ids, self.width).tobytes()
+                self.memo[chunk] = array(code, got.ids).tobytes()
 
     def _need(self, chunks: set[str]) -> set[str]:
         """Those of ``chunks`` that no generation knows; known ones become young."""
@@ -75,7 +80,7 @@ class ChunkTokenizer:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
             self.memo, self.old = {}, self.memo
-        new = self._need({c for chunks in split for c in chunks}.difference(self.memo))
+        new = self._need(set().union(*split).difference(self.memo))
         ended = {c for c in new if len(c) > 1 and c[-1] in SIGNS and c[-2].isalpha() and c[-2] < "\u0250" and c[-2] != "\u0130"}
         parts = {c[:-1] for c in ended} | {c[-1] for c in ended}
         self._learn(list(self._need(parts.difference(self.memo, new)) | (new - ended)))
