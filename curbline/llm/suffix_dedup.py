@@ -41,7 +41,7 @@ from .substring_dedup import covered
 
 GRAM = 32
 #: Strings of one anchor that a task doubles by itself (about 300 bytes each).
-GROUP = 50_000
+GROUP = 10_000
 #: Strings a task doubles together.
 TOGETHER = 3000
 NULL_ID = -(1 << 63)
