@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from curbline.operators import landing as L
 from curbline.operators.governance import quarantine
 from curbline.sources import files
-from curbline.sources.schemas import RAW_REQUEST
+from curbline.sources.schemas import LANDED_REQUEST
 
 RAW = "unique_key string, created_date string, closed_date string, complaint_type string, descriptor string, agency string, borough string, latitude string, longitude string, status string"
 
@@ -50,7 +50,7 @@ def test_landing_cap_and_formats(spark, rows, tmp_path):
     df.write.option("header", True).csv(str(tmp_path / "c"))
     assert [r["unique_key"] for r in files.read_landing(spark, str(tmp_path / "j"), 3).collect()] == ["1", "2", "3"]
     assert files.read_landing(spark, str(tmp_path / "c"), fmt="csv").count() == 5
-    assert files.read_landing(spark, str(tmp_path / "j")).schema == RAW_REQUEST
+    assert files.read_landing(spark, str(tmp_path / "j")).schema == LANDED_REQUEST
     assert files.read_landing_raw(spark, str(tmp_path / "j")).filter("unique_key = '4'").count() == 1
 
 
