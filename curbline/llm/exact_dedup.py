@@ -3,7 +3,8 @@
 A text's key is a 64-bit hash of its normal form (A-Z in lower case). The directory maps
 key prefixes to buckets. It starts with one bucket; an overfull bucket (more bytes of
 distinct texts than ``capacity``) splits by its next bit, and the directory doubles where
-that needs a longer prefix. Sizes come from counts by prefix, so the driver sees numbers of
+that needs a longer prefix. The driver holds one directory row per bucket, so ``capacity`` should
+grow with corpora of many terabytes. Sizes come from counts by prefix, so the driver sees numbers of
 prefixes, never keys of documents.
 
 Each bucket, a key range, has one owner task. Owners read their range in key order and hold
@@ -195,7 +196,7 @@ def _owned(entries: DataFrame) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_own, ENTRY)
 
 
-def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", capacity: int = 128 << 20) -> Index:
+def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", capacity: int = 32 << 20) -> Index:
     """Index all documents below ``folder``."""
     directory = split_directory(sizes_by_key(docs, text), capacity)
     generation = f"{folder}/generation-0"
@@ -215,7 +216,7 @@ def entries(spark: SparkSession, index: Index) -> DataFrame:
     return out
 
 
-def extend(spark: SparkSession, index: Index, docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 128 << 20) -> Index:
+def extend(spark: SparkSession, index: Index, docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 32 << 20) -> Index:
     """Add documents; writes a new generation of the buckets that change."""
     old = entries(spark, index)
     sizes = old.select("key", F.octet_length("text").cast("long").alias("bytes")).unionByName(sizes_by_key(docs, text))
