@@ -200,12 +200,9 @@ SELECT event_type, region, n, round(rate, 6) AS rate,
 FROM (SELECT s.event_type, n.n_regionkey AS region, count(*) AS n,
              avg(CAST(s.correct AS DOUBLE)) AS rate
       FROM scored s JOIN nation n ON n.n_nationkey = s.user_id % 25
-      WHERE s.user_id % 5 <> 3 OR s.event_type <> 'view'
       GROUP BY 1, 2 HAVING count(*) >= 300)""", T.SCORED_SQL))
 def fairness(spark, sf_dir):
-    rows = T.scored(spark, sf_dir).filter("user_id % 5 <> 3 OR event_type <> 'view'").withColumn(
-        "tract", (F.col("user_id") % 25).cast("int")
-    )
+    rows = T.scored(spark, sf_dir).withColumn("tract", (F.col("user_id") % 25).cast("int"))
     areas = T.table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("tract"), F.col("n_regionkey").alias("region")
     )

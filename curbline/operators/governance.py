@@ -172,12 +172,18 @@ def expand_splits(proposals: DataFrame, cap: int = SPLIT_CAP) -> tuple[DataFrame
     return children, judged.filter(F.col("reason").isNotNull())
 
 
+def part_of(*keys: Column) -> Column:
+    """A number from 0 to 9,999 that depends on the keys' text alone, the same in any engine."""
+    text = F.concat_ws("|", *[k.cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 10_000).cast("int")
+
+
 def retain(
     df: DataFrame, ts: str, key: str, now: Column, days: int = 30, fast_share: float = 0.1
 ) -> DataFrame:
     """Traces within ``days``: agent traces whole, fast ones by a share of tickets."""
     fresh = df.filter(F.col(ts) >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
-    chosen = F.pmod(F.xxhash64(key), F.lit(10_000)) < int(fast_share * 10_000)
+    chosen = part_of(F.col(key)) < int(fast_share * 10_000)
     return fresh.filter((F.col("path") == "agent") | chosen)
 
 

@@ -13,8 +13,6 @@ from curbline.checks import registry  # noqa: E402
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
 QUERIES, TEXTS = registry.queries(), registry.oracle_sql()
-# Chosen by key hash or by share: their rows are checked in the guard tests instead.
-WITHOUT_SQL = {"field_sample", "trace_retention"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +21,7 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) - set(TEXTS) == WITHOUT_SQL
+    assert set(QUERIES) == set(TEXTS)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
