@@ -187,7 +187,13 @@ def shared_prefix_counts(docs: DataFrame, text: str, size: int, percent: int, bu
 
     def count(batches):
         def batch_of(names, counts):
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts.astype(np.int64))], ["h1", "shared"])
+            """Counts packed by groups of sets, so that a set is not a row in every bucket."""
+            home = mixed(names.view(np.uint64)) % np.uint64(buckets)
+            order = np.argsort(home, kind="stable")
+            home, names, counts = home[order], names[order], counts[order].astype(np.int64)
+            cuts = (np.flatnonzero(np.diff(home)) + 1).tolist()
+            spans = zip([0, *cuts], [*cuts, len(home)], strict=True)
+            return _packed_batch([(int(home[a]), b"", names[a:b].tobytes(), b"", counts[a:b].tobytes()) for a, b in spans])
 
         def reduce(held):
             tokens, owners, flags = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -215,14 +221,36 @@ def shared_prefix_counts(docs: DataFrame, text: str, size: int, percent: int, bu
         for held in _by_bucket(own(batches)):
             while passed:
                 yield batch_of(*passed.pop())
-            yield batch_of(*reduce(held))
+            found = reduce(held)
+            if len(found[0]):
+                yield batch_of(*found)
         while passed:
             yield batch_of(*passed.pop())
 
     sent = docs.select(text).mapInArrow(send, PACKED)
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("names"), F.lit(buckets))).otherwise(F.col("bucket"))
-    rows = sent.repartition(spread).sortWithinPartitions("bucket").mapInArrow(count, "h1 long, shared long")
-    return rows.groupBy("h1").agg(F.sum("shared").alias("shared"))
+    counted = sent.repartition(spread).sortWithinPartitions("bucket").mapInArrow(count, PACKED)
+    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "h1 long, shared long")
+
+
+def _summed(batches):
+    """(h1, shared) once per set, from packed counts sorted by group."""
+
+    def total(held):
+        names, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        known, place = np.unique(names, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(known), pa.array(np.bincount(place, weights=counts).astype(np.int64))], ["h1", "shared"])
+
+    at, held = None, []
+    for batch in batches:
+        for bucket, names, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "names", "flags")), strict=True):
+            if bucket != at and held:
+                yield total(held)
+                held = []
+            at = bucket
+            held.append((np.frombuffer(names, np.int64), np.frombuffer(counts, np.int64)))
+    if held:
+        yield total(held)
 
 
 def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
