@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import scratch_path
-from ..runtime import stored as _stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,12 +69,13 @@ def token_pattern() -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, with the shuffle files behind it released.
 
-    Spark drops shuffle files once the driver has collected their plan as garbage; asking
+    The tables hold texts, so they are packed by zstandard. Spark drops shuffle files once the driver has collected their plan as garbage; asking
     for that after each step keeps the disk use that of one step, not of all.
     """
-    out = _stored(df, label)
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def smallest_hashes(df: DataFrame, key: str, size: int) -> DataFrame:
