@@ -10,7 +10,8 @@ Layout of a file: magic, SHA-256 of the dictionary, the frames, then the index a
 stream (key, offset, size, n_tokens) and its length. ``read_document`` reads the
 index and one frame; ``read`` streams whole files in tasks.
 
-Defined results: NULL and empty texts hold only the end id; NULL keys come first; rows with
+Defined results: strings of special tokens in a text (such as ``<|endoftext|>``) get these
+tokens' ids, as by the library's plain ``encode``; NULL and empty texts hold only the end id; NULL keys come first; rows with
 equal keys keep any order among themselves and are all kept; an empty table gives no files
 and no rows; other columns are not stored.
 """
@@ -42,15 +43,16 @@ class ChunkTokenizer:
     """Encodes texts with the tokenizers library, every distinct chunk between blanks once.
 
     The tokenizer drops white space and no token or normalisation spans a blank or line
-    break, so the ids of a text are the ids of its chunks one after the other. Strings of
-    special tokens in a text are ordinary text.
+    break, so the ids of a text are the ids of its chunks one after the other. With ``special``,
+    strings of special tokens in a text get the ids of these tokens, as the library does unless
+    told otherwise; they hold no blank. Without it they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -96,7 +98,8 @@ class ChunkTokenizer:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+    """The tokenizer of all token files: special tokens found in a text keep their own ids."""
+    return ChunkTokenizer(path, special=True)
 
 
 def train(docs: DataFrame, path: str, key: str, text: str, end_id: int, sample: int, longest: int, size: int) -> bytes:

@@ -109,6 +109,24 @@ def test_token_files_round_trip(spark, odd, none, library):
     assert token_files.checksums(token_files.written(none, tokenizer_file("word_bpe_49k.json"))).count() == 0
 
 
+def test_special_tokens_in_texts_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))  # the library as it comes
+    start, end = "<|startoftext|>", "<|endoftext|>"
+    texts = [f"the end {end} next", f"a{end}b", f"{start}{end}", f"{end}.", f"word,{start},word.", f"{end}\n{start}\t{end}", f"x{end}'s 1{start}2", "<|EndOfText|>", "<|endoftext |>", f"<{end}>", f"é{end}\u0301 {end},"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in token_files.read(token_files.written(docs, tokenizer_file("word_bpe_49k.json"))).collect()}
+    assert got == {i: plain.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert got[0] == [518, 806, 49407, 1131, 1]
+    own = token_files.tokenizer(tokenizer_file("word_bpe_49k.json"))
+    rng = random.Random(4)
+    signs = [start, end, " ", "\n", "a", "B", ".", ",", "É", "\u0301", "<|", "|>", "'s", "1", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(20)))
+        assert np.frombuffer(own.encode([text], b"")[0], "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_refuse_another_dictionary(spark, odd):
     manifest = token_files.written(odd.where("doc_id < 6"), tokenizer_file("word_bpe_49k.json"))
     name = manifest.first().file
