@@ -1,10 +1,12 @@
 """Format-preserving pseudonyms for personal data: a keyed Feistel permutation per format.
 
 Values are found by pattern and validated (Luhn digits, octets, area codes, calendar dates, IBAN
-remainders); what does not validate stays. Each value is numbered within all valid values of its
+remainders); of a card or account number that does not validate, shorter runs of its groups are
+tried; what does not validate stays. Each value is numbered within all valid values of its
 format, the number is permuted by a Feistel network with cycle walking, and the result is written
 in the same shape. So a card stays a valid card with the same separators, and equal values get
-equal pseudonyms in every document and run with the same key, without any table of values or
+equal pseudonyms in every document and run with the same key (but where that would make numbers
+beside each other ambiguous), without any table of values or
 shuffle. With the key the permutation can be undone (``reveal``).
 
 Rows are rewritten one by one in their tasks: nothing is collected, and no group matters.
@@ -213,14 +215,83 @@ def _finder(kinds: tuple[str, ...]):
     # Groups inside patterns shift numbers, so the back reference of dates goes by name.
     joined = "|".join(parts).replace(r"([/.])", r"(?P<sign>[/.])").replace(r"\1", "(?P=sign)")
     plain = "|".join(p for p in parts if not p.startswith("(?P<email>")).replace(r"([/.])", r"(?P<sign>[/.])").replace(r"\1", "(?P=sign)")
-    return re.compile(joined), re.compile(plain) if plain else None, {k: f for k, _, f in own}
+    return re.compile(joined), re.compile(plain) if plain else None, {k: (re.compile(p), f) for k, p, f in own}
 
 
 _HINT = re.compile(r"[0-9@]|AKIA|ASIA")
+REACH = 80  # characters; no card or account number with its neighbours in one find is longer
+_IBAN = re.compile(next(p for k, p, _ in KINDS if k == "iban"))
+
+
+def _parts(kind: str, text: str, start: int, end: int):
+    """(start, end) of the runs of whole groups that may be a card or account number, leftmost and longest first."""
+    if kind not in ("card", "iban"):
+        return
+    groups, width = [], []
+    for m in re.finditer(r"[A-Z0-9]+", text[start:end]):
+        groups.append((start + m.start(), start + m.end()))
+        width.append(m.end() - m.start())
+    for i in range(len(groups)):
+        ends, total = [], 0
+        for j in range(i, len(groups)):
+            total += width[j]
+            if total > (19 if kind == "card" else 35):
+                break
+            if total >= (13 if kind == "card" else 12):
+                ends.append(groups[j][1])
+        for e in reversed(ends):
+            if kind == "card" or _IBAN.fullmatch(text, groups[i][0], e):
+                yield groups[i][0], e
+
+
+def _spans(text: str, key: bytes, finder, functions, back: bool, at: int, stop: int):
+    """Values that start from ``at`` and before ``stop``, as [start, end, kind, new], and the finds that did not validate."""
+    out, loose, later = [], [], None
+    while True:
+        match = finder.search(text, at)
+        if later and (match is None or match.start() >= later[0]):
+            found, later = later, None
+        elif match is None or match.start() >= stop:
+            return out, loose
+        else:
+            start, end = match.span()
+            kind = next(k for k in functions if match.groupdict().get(k) is not None)
+            new = functions[kind][1](match.group(0), key, back)
+            found = [start, end, kind, new]
+            if new is None:
+                found = None
+                loose.append((start, end))
+                for s, e in _parts(kind, text, start, end):
+                    new = functions[kind][1](text[s:e], key, back)
+                    if new is not None:
+                        if s == start:
+                            found = [s, e, kind, new]
+                        elif later is None or s < later[0]:
+                            later = [s, e, kind, new]
+                        break
+                names = list(functions)
+                for k in names[names.index(kind) + 1 :] if found is None else ():
+                    other = functions[k][0].match(text, start)
+                    new = functions[k][1](other.group(0), key, back) if other else None
+                    if new is not None:
+                        found = [start, other.end(), k, new]
+                        break
+            if found is None:
+                at = start + 1
+                continue
+        out.append(found)
+        at = found[1]
+        later = None
+        if found[0] >= stop:
+            return out[:-1], loose
 
 
 def rewritten(text: str, key: bytes, kinds: tuple[str, ...], back: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with its values replaced, and how many of each kind."""
+    """The text with its values replaced, and how many of each kind.
+
+    A value beside others is permuted on until the new text shows the same values at the same
+    places, so that it can be undone; going back takes the values in the opposite order.
+    """
     counts: dict[str, int] = {}
     if not _HINT.search(text):
         return text, counts
@@ -228,16 +299,74 @@ def rewritten(text: str, key: bytes, kinds: tuple[str, ...], back: bool = False)
     finder = every if "@" in text else plain
     if finder is None:
         return text, counts
-
-    def replace(match: re.Match) -> str:
-        kind = next(k for k in functions if match.groupdict().get(k) is not None)
-        new = functions[kind](match.group(0), key, back)
-        if new is None:
-            return match.group(0)
+    found, loose = _spans(text, key, finder, functions, back, 0, len(text) + 1)
+    # Stretches of values beside each other or under a find that did not validate, and whether more than one value.
+    places = sorted([(s, e, True) for s, e in loose] + [(s, e, False) for s, e, _, _ in found])
+    near: list[list] = []
+    for s, e, shut in places:
+        if near and s <= near[-1][1] + 3:
+            near[-1][1], near[-1][2] = max(near[-1][1], e), True
+        else:
+            near.append([s, e, shut])
+    near = [n for n in near if n[2]]
+    out, done, k = [], 0, 0
+    for first, last, _ in near:
+        while k < len(found) and found[k][0] < first:
+            out += [text[done : found[k][0]], found[k][3]]
+            done, k = found[k][1], k + 1
+        group = []
+        while k < len(found) and found[k][0] < last:
+            group.append(found[k])
+            k += 1
+        if group:
+            out += [text[done:first], _together(text, first, last, group, key, finder, functions, back)]
+            done = last
+    for s, e, _, new in found[k:]:
+        out += [text[done:s], new]
+        done = e
+    for _, _, kind, _ in found:
         counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return finder.sub(replace, text), counts
+    return "".join([*out, text[done:]]), counts
+
+
+def _together(text: str, first: int, last: int, group: list, key: bytes, finder, functions, back: bool) -> str:
+    """``text[first:last]`` with the values of ``group`` replaced, found again at the same places."""
+    pieces, at = [text[max(0, first - REACH) : first]], first
+    skipped = len(pieces[0])
+    for s, e, _, _ in group:
+        pieces[-1] += text[at:s]
+        pieces += [text[s:e], ""]
+        at = e
+    pieces[-1] += text[at : last + REACH]
+
+    def shows(i: int) -> bool:
+        """Whether value ``i`` and those shortly before it are found at their places; later ones do not depend on it."""
+        j, size = i, 0
+        while j and (size := size + len(pieces[2 * j]) + len(pieces[2 * j - 1])) <= REACH:
+            j -= 1
+        gap = pieces[2 * j][-2 * REACH :]
+        start = min(skipped, len(gap)) if j == 0 and len(gap) == len(pieces[0]) else min(8, max(0, len(gap) - REACH))
+        head = "" if j == 0 else pieces[2 * j - 1][-8:] if len(gap) == len(pieces[2 * j]) else ""
+        if head:
+            start = 0
+        around, want = head + gap, []
+        for k in range(j, i + 1):
+            want.append((len(around), len(around) + len(pieces[2 * k + 1]), group[k][2]))
+            around += pieces[2 * k + 1] + (pieces[2 * k + 2] if k < i else "")
+        stop, after = len(around), 2 * i + 2
+        while after < len(pieces) and len(around) < stop + REACH:
+            around, after = around + pieces[after], after + 1
+        seen, _ = _spans(around[: stop + REACH], key, finder, functions, back, len(head) + start, stop)
+        return [tuple(x[:3]) for x in seen] == want
+
+    for i in range(len(group)) if back else reversed(range(len(group))):
+        sure = shows(i)  # else the walk might not end
+        while True:
+            pieces[2 * i + 1] = functions[group[i][2]][1](pieces[2 * i + 1], key, back)
+            if not sure or shows(i):
+                break
+    whole = "".join(pieces)
+    return whole[skipped : len(whole) - len(text[last : last + REACH])]
 
 
 ALL_KINDS = tuple(k for k, _, _ in KINDS)

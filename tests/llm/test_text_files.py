@@ -194,6 +194,23 @@ def test_values_that_do_not_validate_stay(value):
     assert pseudonyms.rewritten(f"see {value} now", b"k", pseudonyms.ALL_KINDS) == (f"see {value} now", {})
 
 
+CARD, ACCOUNT = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+BESIDE = [
+    (CARD, "{} 12/27"), (CARD, "{} 123"), (CARD, "order 12 {}"), (CARD, "12 34 {} 12"), (CARD, "{} 212 555-1234"), ("4111-1111-1111-1111", "12-{}"),
+    ("4111111111111111", "7 {} 9"), ("3782 822463 10005", "{} 1234"), (ACCOUNT, "{} BIC"), (ACCOUNT, "AB12 {} BIC"), ("AT611904300234573201", "{} BIC"), (ACCOUNT, "{} " + CARD + " 12"),
+]
+
+
+@pytest.mark.parametrize("value,around", BESIDE)
+def test_values_beside_numbers_and_words_are_found_and_come_back(value, around):
+    text = f"see {around.format(value)} now"
+    for key in (str(i).encode() for i in range(60)):
+        new, counts = pseudonyms.rewritten(text, key, pseudonyms.ALL_KINDS)
+        assert value not in new and counts["card" if value[0].isdigit() else "iban"] == 1
+        assert ("555-1234" in text) == (counts.get("phone", 0) == 1)
+        assert pseudonyms.rewritten(new, key, pseudonyms.ALL_KINDS, back=True) == (text, counts)
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 3, 10, 777):
         new = [pseudonyms.permuted(i, size, b"k", "t") for i in range(size)]
