@@ -118,3 +118,15 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
         place = np.where(h[right] < h[left], right, left)
         span += step
     return place[:n]
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with one space between the words of a text, and where the words are then."""
+    keep = ~_SPACE[data]
+    after = stops[stops < len(data)]
+    after = after[_SPACE[data[after]]]
+    out = data.copy()
+    out[after] = 0x20
+    keep[after] = True
+    place = np.cumsum(keep)
+    return out[keep], place[starts] - 1, place[stops - 1]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..checks.collect import collection
-from . import byte_bpe, classifier, decontamination, exact_dedup, jaccard_join, pseudonyms, substring_dedup, suffix_dedup, token_files, warc
+from . import byte_bpe, centroids, classifier, decontamination, exact_dedup, hard_negatives, jaccard_join, pseudonyms
+from . import simhash, substring_dedup, suffix_dedup, token_files, warc
 from .common import shared_folder, table, token_pattern, tokenizer_file
 
 query, QUERIES, SQL = collection()
@@ -153,6 +154,59 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
 
 
+@query()
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 64-bit SimHash fingerprints differ in at most two bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_SOUND = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+#: Ten rounds written out; every step is materialised, else each would be computed twice.
+_CENTROIDS_SQL = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS c, v FROM k QUALIFY c < 8),
+""" + ",".join(
+    f"""
+a{r} AS MATERIALIZED (SELECT vec_id, k.v, c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c{r}.v[i]) * (k.v[i] - c{r}.v[i])))::BIGINT AS d
+  FROM k, c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+  FROM (SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) m USING (c))"""
+    for r in range(10)
+) + """,
+f AS MATERIALIZED (SELECT vec_id, c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c10.v[i]) * (k.v[i] - c10.v[i])))::BIGINT AS d, c10.v AS m
+  FROM k, c10 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM f
+"""
+
+
+@query(_CENTROIDS_SQL)
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all embeddings after ten exact rounds over subvector dictionaries."""
+    return centroids.report(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query(f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_SOUND}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b))::INTEGER AS rank,
+  s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score 50 to 95 percent of an anchor's best rows of its own label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
