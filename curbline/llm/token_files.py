@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import io
+import json
 import sys
 import zlib
 from array import array
@@ -31,75 +32,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .buffers import blocks_of, distinct_words, folded, words_of
 from .common import attempt_name, opened, shared_folder, smallest_hashes
 
 MAGIC = b"TOKZ0001"
-#: Chunks of each of the two generations that a worker remembers; a cache, not a limit on input.
-MEMO_CHUNKS = 500_000
-SIGNS = frozenset(".,;:!?")
-
-
-class ChunkTokenizer:
-    """Encodes texts with the tokenizers library, every distinct chunk between blanks once.
-
-    The tokenizer drops white space and no token or normalisation spans a blank or line
-    break, so the ids of a text are the ids of its chunks one after the other. With ``special``,
-    strings of special tokens in a text get the ids of these tokens, as the library does unless
-    told otherwise; they hold no blank. Without it they are ordinary text.
+#: Pieces of each of the two generations that a worker remembers; a cache, not a limit on input.
+MEMO_PIECES = 300_000
+#: Text that is split to words at once.
+TEXT_BYTES = 8 << 20
+#: The normalisation and splitting for which words are independent of each other.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMAL = ["NFC", "Replace", "Lowercase"]
+#: Bytes that only the library judges: the apostrophe, controls, and signs beyond ASCII but letters below U+0240.
+ODD = np.zeros(256, bool)
+ODD[[39, *range(32), 127, 0xC2, *range(0xC9, 256)]] = True
+#: Pairs of bytes within that range that are no letters, or change their length in lower case.
+ODD_PAIRS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+#: 0 letters, 1 signs, 2 digits.
+KIND = np.ones(256, np.uint8)
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+KIND[48:58] = 2
+SPECIAL = b"<|"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(moved)) for b in range(256)}
+
+
+def split_words(data: np.ndarray, ends: np.ndarray):
+    """(bytes, starts, stops, first, odd): pieces of words in lower case; odd words stay whole.
+
+    Blocks that may hold special tokens, whose case matters, keep theirs.
+    """
+    special = SPECIAL in data.tobytes()
+    odd_byte = ODD[data]
+    for one, two in ODD_PAIRS:
+        odd_byte[:-1] |= (data[:-1] == one) & (data[1:] == two)
+    if special:
+        odd_byte |= data == SPECIAL[0]
+    starts, stops, first = words_of(data, ends)
+    before = np.concatenate(([0], np.cumsum(odd_byte, dtype=np.int32)))
+    odd = before[stops] > before[starts]
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts[~odd]] += 1
+    step[stops[~odd]] -= 1
+    kind = KIND[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut &= np.cumsum(step[:-1], dtype=np.int8) > 0
+    cut[starts] = True
+    begin = np.flatnonzero(cut)
+    word = np.searchsorted(starts, begin, side="right") - 1
+    stop = np.minimum(np.concatenate((begin[1:], [len(data)])), stops[word])
+    bounds = np.concatenate((np.searchsorted(begin, np.concatenate(([0], ends[:-1]))), [len(begin)]))
+    return data if special else folded(data), begin, stop, bounds, odd[word]
+
+
+class WordTokenizer:
+    """Ids of whole texts by the tokenizers library, every distinct word of a block once.
+
+    White space is dropped and neither a token nor a normalisation spans it, so the ids of a text are the
+    ids of its words one after the other. Words of ASCII signs, digits and letters below U+0240 fall
+    to runs of letters, runs of signs and single digits, which go to the library's merge model
+    directly; other words go through the whole library. That holds for files with the splitting stated
+    above, which is checked; with any other file whole texts go through the library. Strings of
+    special tokens get the ids of these tokens, as in the library's plain ``encode``.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little":
+            raise RuntimeError("token files are written on little-endian machines")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = not special
+        self.model = self.library.model
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.width.itemsize == 2 else "I"
+        self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if sys.byteorder != "little":
-            raise RuntimeError("token files are written on little-endian machines")
-        code = "H" if self.width.itemsize == 2 else "I"
-        for at in range(0, len(chunks), 10_000):
-            part = chunks[at : at + 10_000]
-            for chunk, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[chunk] = array(code, got.ids).tobytes()
-
-    def _need(self, chunks: set[str]) -> set[str]:
-        """Those of ``chunks`` that no generation knows; known ones become young."""
-        out = set()
-        for chunk in chunks:
-            have = self.old.get(chunk)
+        self.by_word = self._splits_words(json.loads(self.library.to_str()))
+
+    @staticmethod
+    def _splits_words(config: dict) -> bool:
+        normal = (config.get("normalizer") or {}).get("normalizers", [])
+        steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return (
+            [x["type"] for x in normal] == NORMAL
+            and normal[1]["pattern"] == {"Regex": "\\s+"}
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": SPLIT}
+            and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+            and (steps[1]["add_prefix_space"], steps[1]["use_regex"]) == (False, False)
+        )
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece by the merge model."""
+        have = self.memo.get(piece)
+        if have is None:
+            have = self.old.get(piece)
             if have is None:
-                out.add(chunk)
-            else:
-                self.memo[chunk] = have
-        return out
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """Serialized ids of each text, ``end`` last."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.memo) > MEMO_CHUNKS:
+                bytes_ = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                have = array(self.code, [t.id for t in self.model.tokenize(bytes_)]).tobytes()
+            self.memo[piece] = have
+        return have
+
+    def pieces(self, found: list[bytes], odd: np.ndarray) -> list[bytes]:
+        """Serialized ids of each piece; odd ones are whole words for the library."""
+        if len(self.memo) > MEMO_PIECES:
             self.memo, self.old = {}, self.memo
-        new = self._need(set().union(*split).difference(self.memo))
-        ended = {c for c in new if len(c) > 1 and c[-1] in SIGNS and c[-2].isalpha() and c[-2] < "\u0250" and c[-2] != "\u0130"}
-        parts = {c[:-1] for c in ended} | {c[-1] for c in ended}
-        self._learn(list(self._need(parts.difference(self.memo, new)) | (new - ended)))
-        for chunk in ended:
-            self.memo[chunk] = self._ids(chunk[:-1]) + self._ids(chunk[-1])
-        get = self.memo.__getitem__
-        return [b"".join(map(get, chunks)) + end for chunks in split]
-
+        out = [b"" if o else self._piece(p.decode().lower()) for p, o in zip(found, odd.tolist(), strict=True)]
+        rest = np.flatnonzero(odd).tolist()
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            for k, got in zip(part, self.library.encode_batch_fast([found[k].decode() for k in part], add_special_tokens=False), strict=True):
+                out[k] = array(self.code, got.ids).tobytes()
+        return out
 
-    def _ids(self, part: str) -> bytes:
-        return self.memo[part]
+    def block(self, data: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): ids of all texts, each closed by ``end_id``, and where texts begin and end."""
+        if not self.by_word:
+            whole, begins = data.tobytes(), [0, *ends[:-1].tolist()]
+            texts = [whole[a:b].decode() for a, b in zip(begins, ends.tolist(), strict=True)]
+            got = [[*e.ids, end_id] for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for ids in got for i in ids], self.width), np.cumsum([0, *map(len, got)])
+        data, starts, stops, first, odd = split_words(data, ends)
+        codes, known = distinct_words(data, starts, stops)
+        alone = np.zeros(len(known), bool)
+        alone[codes[odd]] = True
+        ids = [*self.pieces(known, alone), np.array([end_id], self.width).tobytes()]
+        flat = np.frombuffer(b"".join(ids), self.width)
+        sizes = np.array([len(x) // self.width.itemsize for x in ids])
+        at = np.cumsum(sizes) - sizes
+        codes = np.insert(codes, first[1:], len(known))
+        counts = sizes[codes]
+        stop = np.cumsum(counts)
+        place = np.arange(int(counts.sum())) + np.repeat(at[codes] - (stop - counts), counts)
+        closed = first[1:] + np.arange(len(ends))
+        return flat[place], np.concatenate(([0], stop[closed]))
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """Serialized ids of each text, ``end_id`` last."""
+        raw = [(t or "").encode() for t in texts]
+        ids, bounds = self.block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]), end_id)
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str) -> ChunkTokenizer:
-    """The tokenizer of all token files: special tokens found in a text keep their own ids."""
-    return ChunkTokenizer(path, special=True)
+def tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer, which remembers what it has encoded."""
+    return WordTokenizer(path)
 
 
 def train(docs: DataFrame, path: str, key: str, text: str, end_id: int, sample: int, longest: int, size: int) -> bytes:
@@ -110,7 +195,8 @@ def train(docs: DataFrame, path: str, key: str, text: str, end_id: int, sample:
     chosen = smallest_hashes(short.select(F.col(key).alias("k")), "k", sample)
     rows = short.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").orderBy("k", "t").select("t")
     own = tokenizer(path)
-    samples = own.encode([r["t"] for r in rows.collect()], np.array([end_id], own.width).tobytes())
+    texts = [r["t"] for r in rows.collect()]
+    samples = own.encode(texts, end_id) if texts else []
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -145,27 +231,26 @@ def write(
         from pyspark import TaskContext
 
         own = tokenizer(path)
-        end = np.array([end_id], own.width).tobytes()
         words = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
         pack = zstandard.ZstdCompressor(level=level, dict_data=words).compress
         part = TaskContext.get().partitionId()
         out, name, index, total = None, attempt_name(f"{folder}/part-{part:06d}", ".tokz"), [], 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keys = batch.column("key").cast(key_type)
-            for at in range(0, len(texts), 512):
-                ids = own.encode(texts[at : at + 512], end)
+            for rows, data, ends in blocks_of(batch, "text", TEXT_BYTES):
+                ids, bounds = own.block(data, ends, end_id)
                 if out is None:
                     fs, where = opened(name)
                     out = fs.open_output_stream(where)
                     out.write(MAGIC + hashlib.sha256(shared.value).digest() + bytes([own.width.itemsize]))
                     place = len(MAGIC) + 33
-                frames = list(map(pack, ids))
+                raw = memoryview(ids).cast("B")
+                bytes_ = (bounds * own.width.itemsize).tolist()
+                frames = [pack(raw[a:b]) for a, b in zip(bytes_[:-1], bytes_[1:], strict=True)]
                 sizes = np.array(list(map(len, frames)), np.int64)
-                counts = np.array([len(x) // own.width.itemsize for x in ids], np.int64)
+                counts = np.diff(bounds)
                 index.append(
                     pa.RecordBatch.from_arrays(
-                        [keys.slice(at, len(ids)), pa.array(place + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(counts)],
+                        [rows.column("key").cast(key_type), pa.array(place + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(counts)],
                         ["key", "offset", "size", "n_tokens"],
                     )
                 )

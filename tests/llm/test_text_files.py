@@ -76,17 +76,41 @@ def library():
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    out.encode_special_tokens = True
     return out
 
 
-def test_chunks_give_the_ids_of_whole_texts(library):
-    own = token_files.ChunkTokenizer(tokenizer_file("word_bpe_49k.json"))
+def test_words_give_the_ids_of_whole_texts(library):
+    own = token_files.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+    assert own.by_word
     rng = random.Random(3)
     signs = [",", ".", "!", "a", "B", "É", " ́", "́", "\n", "\t", " ", " ", "ß", "İ", "Σ", "1", "'s", "-", "\r\n", "\x85", "<|endoftext|>", "日", "😀", "가", "ᄀ", "क़"]
-    for _ in range(3000):
-        text = "".join(rng.choice(signs) for _ in range(rng.randrange(40)))
-        assert np.frombuffer(own.encode([text], b"")[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    signs += ["²", "½", "ª", "ǅ", "ŉ", "_", "'", "»", "%%%", "\u00a0", "\u2028", "\x0b", "\x1c", "ſ", "Word", "don't", "<|"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    for c in range(1, 0x260):  # every sign below the bound, alone and between letters
+        texts += [chr(c), f"a{chr(c)}B", f"{chr(c)}{chr(c)}.", f"a {chr(c)}b"]
+    for at in range(0, len(texts), 100):
+        got = [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts[at : at + 100], 1)]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts[at : at + 100]]
+
+
+def test_other_splittings_encode_whole_texts(library, tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_str(library.to_str())
+    other.normalizer = normalizers.Lowercase()
+    other.save(str(tmp_path / "other.json"))
+    own = token_files.WordTokenizer(str(tmp_path / "other.json"))
+    assert not own.by_word
+    texts = ["A b\nC", "", "é É"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts, 1)] == [other.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_token_files_of_string_keys(spark):
+    docs = spark.createDataFrame([("b", "two"), ("a", "one one"), (None, None)], "name string, text string")
+    manifest = token_files.written(docs, tokenizer_file("word_bpe_49k.json"), key="name")
+    rows = token_files.checksums(manifest, "name", "string").collect()
+    assert [(r.name, r.start) for r in sorted(rows, key=lambda r: r.start)] == [(None, 0), ("a", 1), ("b", 4)]
+    assert [x.tolist() for x in (token_files.read_document(r.file, "b") for r in manifest.collect()) if x is not None] != []
 
 
 def test_token_files_round_trip(spark, odd, none, library):
@@ -124,7 +148,7 @@ def test_special_tokens_in_texts_keep_their_ids(spark):
     signs = [start, end, " ", "\n", "a", "B", ".", ",", "É", "\u0301", "<|", "|>", "'s", "1", "日"]
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randrange(20)))
-        assert np.frombuffer(own.encode([text], b"")[0], "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([text], 1)[0], "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
 
 
 def test_token_files_refuse_another_dictionary(spark, odd):
