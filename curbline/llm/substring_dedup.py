@@ -8,10 +8,12 @@ window over it occurs in a document with a smaller id. All windows are judged on
 2. A run that an earlier document has too is gone as a whole, whatever else its anchor has.
    The first owner of a run goes on only if its anchor has different runs: any earlier owner of
    a window owns it in a run that is first there.
-3. The windows of those runs get 128-bit Rabin-Karp hashes, which Spark counts.
+3. The windows of those runs get two Rabin-Karp hashes modulo 2**61 - 1, which Spark counts.
 4. Repeated windows merge into maximal intervals per document, and their words are removed.
 
-Equal content is decided by 128 hash bits. Counting combines map-side and the joins back are plain
+Words are known by 128 bits of XXH3, runs by 128 bits over those, and windows by two Rabin-Karp
+hashes, one over each half. Seed and bases are drawn anew for every job, so no text can
+be built to collide. Counting combines map-side and the joins back are plain
 equi-joins that Spark can split under skew, so a passage in a third of all documents is
 spread. Texts move once, those with single windows to decide a second time.
 
@@ -31,18 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import runs
-from .buffers import BASES, Rolling, blocks_of, words_of
+from .anchors import drawn_seed, runs
+from .buffers import BASES, PRIME, RabinKarp, blocks_of, digests, words_of
 from .common import stored
 
 GRAM = 8
-RUN = "id long, version long, first int, count int, anchor long, whole long"
+RUN = "id long, version long, first int, count int, anchor long, w1 long, w2 long"
 
 
-def _words(data: np.ndarray, ends: np.ndarray):
-    """(starts, stops, first, hashes) of the words of a block."""
+def _words(data: np.ndarray, ends: np.ndarray, seed: int):
+    """(starts, stops, first, hashes) of the words of a block; two hashes each."""
     starts, stops, first = words_of(data, ends)
-    return starts, stops, first, Rolling(data, BASES[0]).ranges(starts, stops)
+    return starts, stops, first, digests(data, starts, stops, seed)
 
 
 def _versions(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -50,14 +52,15 @@ def _versions(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(data[a:b]) for a, b in zip(begins, ends, strict=True)], np.int64)
 
 
-def window_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def window_runs(docs: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
     """One row per run of windows; ``first`` counts words within the document."""
 
     def run(batches):
         for batch in batches:
             for part, data, ends in blocks_of(batch, "text"):
-                _, _, first, hashes = _words(data, ends)
-                text, place, count, anchor, whole = runs(hashes, first, window, gram, BASES[1])
+                _, _, first, hashes = _words(data, ends, seed)
+                text, place, count, anchor, _ = runs(hashes[:, 0], first, window, gram, BASES[1])
+                whole = digests(hashes.view(np.uint8).ravel(), 16 * place, 16 * (place + count - 1 + window), seed).view("<i8")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(text)),
@@ -65,9 +68,10 @@ def window_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         pa.array((place - first[text]).astype(np.int32)),
                         pa.array(count.astype(np.int32)),
                         pa.array(anchor.view(np.int64)),
-                        pa.array(whole.view(np.int64)),
+                        pa.array(np.ascontiguousarray(whole[:, 0])),
+                        pa.array(np.ascontiguousarray(whole[:, 1])),
                     ],
-                    ["id", "version", "first", "count", "anchor", "whole"],
+                    ["id", "version", "first", "count", "anchor", "w1", "w2"],
                 )
 
     return docs.where("id is not null").mapInArrow(run, RUN)
@@ -75,15 +79,16 @@ def window_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def undecided_runs(found: DataFrame) -> DataFrame:
     """(id, version, runs): runs that go whole (``gone``), and those whose windows must be counted."""
+    one = [F.min(c) == F.max(c) for c in ("w1", "w2")]
     anchors = (
         found.groupBy("anchor")
-        .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("whole").alias("w1"), F.max("whole").alias("w2"))
+        .agg(F.min("id").alias("least"), F.max("id").alias("most"), (one[0] & one[1]).alias("equal"))
         .where("least < most")
-        .select("anchor", "least", (F.col("w1") == F.col("w2")).alias("equal"))
+        .select("anchor", "equal")
     )
     open_ = stored(found.join(anchors, "anchor"), "repeated-runs")
-    firsts = open_.groupBy("anchor", "whole").agg(F.min("id").alias("owner"))
-    judged = open_.join(firsts, ["anchor", "whole"]).where("id > owner or not equal")
+    firsts = open_.groupBy("anchor", "w1", "w2").agg(F.min("id").alias("owner"))
+    judged = open_.join(firsts, ["anchor", "w1", "w2"]).where("id > owner or not equal")
     runs = F.collect_list(F.struct("first", "count", (F.col("id") > F.col("owner")).alias("gone")))
     return judged.groupBy("id", "version").agg(runs.alias("runs"))
 
@@ -104,16 +109,19 @@ def _starts(found) -> np.ndarray:
 SETTLED = "id long, version long, n_words long, gone array<int>, kept string, text string, windows array<struct<h1:long,h2:long,at:int>>"
 
 
-def _settle(docs: DataFrame, window: int) -> DataFrame:
+def _settle(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """Results of documents without open windows; text and window hashes of the others."""
+    bases = [(seed >> shift) % (PRIME - 1000) + 500 for shift in (0, 3)]
 
     def run(batches):
         for batch in batches:
             for part, data, ends in blocks_of(batch, "text"):
-                starts, stops, first, hashes = _words(data, ends)
+                found = part.column("runs").to_pylist()
+                open_texts = any(not r["gone"] for own in found for r in own or ())
+                starts, stops, first = words_of(data, ends)
+                hashes = digests(data, starts, stops, seed) if open_texts else None
                 versions = _versions(data, ends).tolist()
-                h1, h2 = (Rolling(hashes, base) for base in BASES)
-                texts, found = part.column("text"), part.column("runs").to_pylist()
+                texts = part.column("text")
                 rows = []
                 for d, i in enumerate(part.column("id").to_pylist()):
                     a, b = int(first[d]), int(first[d + 1])
@@ -121,11 +129,8 @@ def _settle(docs: DataFrame, window: int) -> DataFrame:
                     gone = _starts([r for r in own if r["gone"]])
                     open_ = _starts([r for r in own if not r["gone"]])
                     if len(open_):
-                        at = open_ + a
-                        windows = zip(
-                            h1.ranges(at, at + window).view(np.int64).tolist(), h2.ranges(at, at + window).view(np.int64).tolist(), open_.tolist(), strict=True
-                        )
-                        listed = [{"h1": x, "h2": y, "at": z} for x, y, z in windows]
+                        h1, h2 = (RabinKarp(hashes[a:b, k], base).ranges(open_, open_ + window).tolist() for k, base in enumerate(bases))
+                        listed = [{"h1": x, "h2": y, "at": z} for x, y, z in zip(h1, h2, open_.tolist(), strict=True)]
                         rows.append((i, versions[d], b - a, gone.tolist(), None, texts[d].as_py(), listed))
                     else:
                         left = ~covered(gone, window, b - a)
@@ -176,9 +181,10 @@ def _finish(rows: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, gram: int = GRAM) -> DataFrame:
     """(key, n_words, n_removed, kept): the words left of every document, joined by spaces."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    found = undecided_runs(window_runs(rows, window, min(gram, window)))
+    seed = drawn_seed()
+    found = undecided_runs(window_runs(rows, window, min(gram, window), seed))
     versioned = rows.withColumn("version", F.crc32(F.col("text").cast("binary")))
-    settled = stored(_settle(versioned.join(found, ["id", "version"], "left").select("id", "text", "runs"), window), "substring")
+    settled = stored(_settle(versioned.join(found, ["id", "version"], "left").select("id", "text", "runs"), window, seed), "substring")
     windows = settled.where("kept is null").select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.h1", "w.h2", "w.at")
     firsts = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h1", "h2", "least")
     hits = windows.join(firsts, ["h1", "h2"]).where("id > least").groupBy("id", "version").agg(F.collect_set("at").alias("hits"))
