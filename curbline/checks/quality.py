@@ -246,7 +246,7 @@ RUNS_SQL = """
 old AS (SELECT 'accuracy_' || tier AS metric, count(*) FILTER (correct) / count(*) AS v
          FROM scored WHERE user_id % 2 = 0 GROUP BY tier),
 new AS (SELECT 'accuracy_' || tier AS metric, count(*) FILTER (correct) / count(*) AS v
-         FROM scored WHERE user_id % 2 = 1 AND tier <> 'groq' GROUP BY tier)"""
+         FROM scored WHERE user_id % 2 = 1 GROUP BY tier)"""
 
 
 @query(sql("""
@@ -267,7 +267,7 @@ def run_deltas(spark, sf_dir):
     )
     out = M.metric_deltas(
         accuracy(rows.filter("user_id % 2 = 0")),
-        accuracy(rows.filter("user_id % 2 = 1 AND tier <> 'groq'")),
+        accuracy(rows.filter("user_id % 2 = 1")),
         tolerance,
     )
     return _round(out, "old", "new", "delta")

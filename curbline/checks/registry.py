@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decisions, governance, ingest, monitoring, quality, similarity, streams, text
+from . import decisions, governance, ingest, monitoring, quality, similarity, streams, summaries, text
 
-MODULES = (ingest, text, similarity, decisions, quality, monitoring, governance, streams)
+MODULES = (ingest, text, similarity, decisions, quality, monitoring, governance, streams, summaries)
 
 
 def queries() -> dict:

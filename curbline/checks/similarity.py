@@ -8,12 +8,14 @@ from ..functions.text import issue_categories
 from ..operators import dedup as D, voting as V
 from ..operators.metrics import evaluate_pairs
 from ..operators.similarity import knn_join
-from ..operators.text_vectors import hashed_vectors, pair_distances
+from ..operators.sparse_join import cosine_pairs
+from ..operators.text_vectors import pair_distances
 from ..plans import tables as T
 from ..plans.tables import sql
-from ..runtime import settle, spread
+from ..plans.triage import with_text_vectors
+from ..runtime import settle
 from .collect import collection
-from .text import HASHED_SQL, TOKENS_SQL, category_sql
+from .text import TOKENS_SQL, WORD, category_sql, mask_sql, strip_sql
 
 query, QUERIES, SQL = collection()
 
@@ -54,6 +56,29 @@ def lookup_join(spark, sf_dir):
     return m.join(e, m.vec_id == e.event_id).select("vec_id", "event_type", "label")
 
 
+RECALL_LIMIT, RECALL_GOAL = 0.6, 0.9
+
+
+@query(sql(f"""
+SELECT count(DISTINCT q_id) AS queries, count(*) AS exact, true AS reached
+FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, b_id) AS r
+      FROM pairs WHERE distance <= {RECALL_LIMIT}) WHERE r <= {K}""", T.EMBEDDED_SQL, PAIRS_SQL))
+def knn_recall(spark, sf_dir):
+    """Hashed against exact search: the neighbours there are, and whether the stated recall is reached."""
+    rows = T.embedded(spark, sf_dir)
+    options = {"k": K, "max_distance": RECALL_LIMIT}
+    exact = knn_join(rows, rows, **options).select("q_id", "b_id")
+    hashed = knn_join(rows, rows, method="lsh", recall=RECALL_GOAL, bits=8, **options).select(
+        "q_id", "b_id", F.lit(True).alias("hit")
+    )
+    both = exact.join(hashed, ["q_id", "b_id"], "left")
+    return both.agg(
+        F.countDistinct("q_id").alias("queries"),
+        F.count("*").alias("exact"),
+        (F.count("hit") >= RECALL_GOAL * F.count("*")).alias("reached"),
+    )
+
+
 @query(sql(f"SELECT q_id, b_id, distance, rank FROM near WHERE rank <= {K}",
            T.EMBEDDED_SQL, PAIRS_SQL))
 def knn_neighbours(spark, sf_dir):
@@ -141,14 +166,29 @@ def past_resolutions(spark, sf_dir):
     )
 
 
-# Tickets with text; some without time or place, to exercise the dropped predicates.
+# All tickets by their masked request text; some without time or place, to exercise the dropped
+# predicates. Most have no descriptor, so their type alone is their text: many are copies.
 GEO, DAYS, ALIKE = 600.0, 1, 0.15
+REQUEST_SQL = f"""
+requests AS (
+  SELECT id, {mask_sql(strip_sql("regexp_replace(regexp_replace(complaint_type || ': ' || coalesce(descriptor, ''), '^[: ]+', ''), '[: ]+$', '')"))} AS request
+  FROM tickets
+), words AS (
+  SELECT id, unnest(regexp_extract_all(lower(request), '[{WORD}]+')) AS token FROM requests
+), word_slots AS (
+  SELECT id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS slot, count(*) AS n FROM words GROUP BY 1, 2
+), request_vectors AS (
+  SELECT d.id, list(coalesce(s.n, 0)::DOUBLE ORDER BY r.slot) AS vector
+  FROM (SELECT DISTINCT id FROM word_slots) d CROSS JOIN range(64) r(slot)
+       LEFT JOIN word_slots s ON s.id = d.id AND s.slot = r.slot
+  GROUP BY d.id
+)"""
 TEXT_TICKETS_SQL = f"""
 reports AS (
   SELECT t.id, t.complaint_type, t.descriptor, h.vector,
          CASE WHEN t.event_id % 17 = 5 THEN NULL ELSE t.created_date END AS created_date,
          CASE WHEN t.event_id % 13 = 7 THEN NULL ELSE t.latitude END AS latitude, t.longitude
-  FROM tickets t JOIN hashed h ON h.doc_id = t.event_id
+  FROM tickets t JOIN request_vectors h ON h.id = t.id
 ), placed AS (
   SELECT *, row_number() OVER (ORDER BY created_date NULLS LAST, id) AS pos,
          sqrt(list_dot_product(vector, vector)) AS n,
@@ -164,7 +204,7 @@ reports AS (
    AND (t.latitude IS NULL OR t.longitude IS NULL
         OR (c.latitude BETWEEN t.latitude - t.dy AND t.latitude + t.dy
             AND c.longitude BETWEEN t.longitude - t.dx AND t.longitude + t.dx))
-), edges AS (
+), edges AS MATERIALIZED (
   SELECT * FROM windowed WHERE distance <= {ALIKE}
 ), nearest AS (
   SELECT t_id, c_id, distance, candidates FROM (
@@ -175,16 +215,14 @@ reports AS (
 
 
 def reports(spark, sf_dir):
-    rows = T.tickets_table(T.tickets(spark, sf_dir).filter(F.col("descriptor").isNotNull()))
-    rows = rows.withColumn(
+    rows = T.tickets_table(T.tickets(spark, sf_dir)).withColumn(
         "created_date", F.when(F.col("event_id") % 17 != 5, F.col("created_date"))
     ).withColumn("latitude", F.when(F.col("event_id") % 13 != 7, F.col("latitude")))
-    vectors = hashed_vectors(spread(T.table(spark, sf_dir, "documents")), "doc_id", "text")
-    return rows.join(vectors, rows["event_id"] == vectors["doc_id"]).drop("doc_id")
+    return with_text_vectors(rows)
 
 
 @query(sql("SELECT t_id, c_id, distance, candidates FROM nearest",
-           T.TICKETS_SQL, TOKENS_SQL, HASHED_SQL, TEXT_TICKETS_SQL))
+           T.TICKETS_SQL, REQUEST_SQL, TEXT_TICKETS_SQL))
 def nearest_candidate(spark, sf_dir):
     near = D.nearest_candidate(
         reports(spark, sf_dir), threshold=ALIKE, geo_metres=GEO, time_days=DAYS
@@ -195,20 +233,17 @@ def nearest_candidate(spark, sf_dir):
 
 
 CANONICAL_SQL = """
-before AS (
-  SELECT p.pos, coalesce(list(e.c_pos) FILTER (e.c_pos < p.pos), []) AS nb
-  FROM placed p LEFT JOIN edges e ON e.t_pos = p.pos GROUP BY p.pos
-), rounds(r, canon, dup) AS (
-  SELECT 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
-  UNION ALL
-  SELECT s.r + 1,
-         coalesce(list(b.pos) FILTER (len(list_filter(b.nb, lambda x: NOT list_contains(s.dup, x))) = 0), []),
-         coalesce(list(b.pos) FILTER (list_has_any(b.nb, s.canon)), [])
-  FROM rounds s, before b
-  WHERE len(s.canon) + len(s.dup) < (SELECT count(*) FROM placed)
-  GROUP BY s.r
+earlier AS MATERIALIZED (
+  SELECT t_pos, c_pos FROM edges WHERE c_pos < t_pos
+), rounds(pos, state) USING KEY (pos) AS (
+  SELECT pos, 0 FROM placed
+  UNION
+  (SELECT u.pos, CASE WHEN bool_or(n.state = 1) THEN 2 ELSE 1 END
+   FROM (SELECT pos FROM recurring.rounds WHERE state = 0) u
+        LEFT JOIN earlier e ON e.t_pos = u.pos LEFT JOIN recurring.rounds n ON n.pos = e.c_pos
+   GROUP BY u.pos HAVING coalesce(bool_or(n.state = 1), false) OR coalesce(bool_and(n.state = 2), true))
 ), decided AS (
-  SELECT unnest(canon) AS pos FROM rounds WHERE r = (SELECT max(r) FROM rounds)
+  SELECT pos FROM rounds WHERE state = 1
 ), links AS (
   SELECT t_id AS dup_id, c_id AS canonical_id, distance FROM (
     SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY distance, c_at NULLS LAST, c_id) AS k
@@ -218,7 +253,7 @@ before AS (
 
 
 @query(sql("SELECT dup_id, canonical_id, distance FROM links",
-           T.TICKETS_SQL, TOKENS_SQL, HASHED_SQL, TEXT_TICKETS_SQL, CANONICAL_SQL))
+           T.TICKETS_SQL, REQUEST_SQL, TEXT_TICKETS_SQL, CANONICAL_SQL))
 def canonical_assignment(spark, sf_dir):
     return D.assign_canonical(
         reports(spark, sf_dir), threshold=ALIKE, geo_metres=GEO, time_days=DAYS
@@ -231,7 +266,7 @@ SELECT r.id, l.canonical_id AS duplicate_of,
        1 + coalesce(g.n, 0) AS report_count
 FROM reports r LEFT JOIN links l ON l.dup_id = r.id
      LEFT JOIN (SELECT canonical_id, count(*) AS n FROM links GROUP BY 1) g ON g.canonical_id = r.id""",
-           T.TICKETS_SQL, TOKENS_SQL, HASHED_SQL, TEXT_TICKETS_SQL, CANONICAL_SQL))
+           T.TICKETS_SQL, REQUEST_SQL, TEXT_TICKETS_SQL, CANONICAL_SQL))
 def duplicate_links(spark, sf_dir):
     rows = settle(reports(spark, sf_dir))
     links = D.assign_canonical(rows, threshold=ALIKE, geo_metres=GEO, time_days=DAYS)
@@ -242,11 +277,11 @@ def duplicate_links(spark, sf_dir):
 SELECT p.id AS q_id, n.c_id AS b_id, n.distance,
        CASE WHEN n.c_id IS NULL THEN 'none'
             WHEN n.distance <= 0.05
-             AND len(list_filter({category_sql('lower(p.descriptor)')},
-                 lambda x: NOT list_contains({category_sql('lower(c.descriptor)')}, x))) = 0 THEN 'auto'
+             AND len(list_filter({category_sql("lower(coalesce(p.descriptor, ''))")},
+                 lambda x: NOT list_contains({category_sql("lower(coalesce(c.descriptor, ''))")}, x))) = 0 THEN 'auto'
             ELSE 'review' END AS band
 FROM placed p LEFT JOIN nearest n ON n.t_id = p.id LEFT JOIN placed c ON c.id = n.c_id""",
-           T.TICKETS_SQL, TOKENS_SQL, HASHED_SQL, TEXT_TICKETS_SQL))
+           T.TICKETS_SQL, REQUEST_SQL, TEXT_TICKETS_SQL))
 def dedup_bands(spark, sf_dir):
     rows = settle(reports(spark, sf_dir))
     near = D.nearest_candidate(rows, threshold=ALIKE, geo_metres=GEO, time_days=DAYS)
@@ -254,6 +289,39 @@ def dedup_bands(spark, sf_dir):
     return D.dedup_bands(near, noted, auto=0.05, review=ALIKE).drop("new_categories")
 
 
+ALIKE_SQL = """
+tf AS MATERIALIZED (
+  SELECT doc_id, token, count(*) AS n FROM toks GROUP BY 1, 2
+), listed AS (
+  SELECT doc_id, string_agg(token || ':' || n, ' ' ORDER BY token) AS v, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm
+  FROM tf GROUP BY 1
+), classed AS MATERIALIZED (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(v)) AS root, norm FROM listed
+), root_tf AS MATERIALIZED (
+  SELECT t.* FROM tf t JOIN classed c ON c.doc_id = t.doc_id AND c.root = t.doc_id
+), alike AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(a.n * b.n) AS dot
+  FROM root_tf a JOIN root_tf b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2
+)"""
+
+
+@query(sql("""
+SELECT a, b, round(CAST(dot AS DOUBLE) / (x.norm * y.norm), 9) AS cosine
+FROM alike JOIN classed x ON x.doc_id = a JOIN classed y ON y.doc_id = b
+WHERE round(CAST(dot AS DOUBLE) / (x.norm * y.norm), 9) >= 0.9""", TOKENS_SQL, ALIKE_SQL))
+def text_cosine_pairs(spark, sf_dir):
+    """All pairs of distinct texts whose token counts have a cosine of 0.9 or more."""
+    docs = T.table(spark, sf_dir, "documents")
+    return cosine_pairs(docs, "doc_id", "text", 0.9).pairs
+
+
+@query(sql("SELECT doc_id, root FROM classed", TOKENS_SQL, ALIKE_SQL))
+def text_classes(spark, sf_dir):
+    """The documents whose token counts are equal, by the smallest of them."""
+    docs = T.table(spark, sf_dir, "documents")
+    return cosine_pairs(docs, "doc_id", "text", 0.9).members
+
+
 PAIR_SQL = """
 pairset AS (
   SELECT l.doc_id, l.quality = 1 AS label, l.quality = 1 AS ann1, l.toxic = 0 AS ann2

@@ -11,6 +11,7 @@ from ..operators.landing import vectorize
 from ..operators.monitoring import field_inventory, stratified_sample
 from ..operators.ordering import first_n
 from ..operators.routing import decode_responses, export_requests, ground_truth
+from ..operators.profiling import profile_ambiguity
 from ..operators.text_vectors import hashed_vectors, term_counts
 from ..plans import tables as T
 from ..plans.tables import sql
@@ -115,60 +116,51 @@ def text_flags(spark, sf_dir):
     )
 
 
+TICKET_FLAGS_SQL = f"""
+ticket_words AS (
+  SELECT id, descriptor, lower(coalesce(descriptor, '')) AS low FROM tickets
+), ticket_noted AS (
+  SELECT *, {category_sql('low')} AS categories FROM ticket_words
+), ticket_flags AS (
+  SELECT id, descriptor, length({strip_sql("coalesce(descriptor, '')")}) < 12 AS thin_text,
+         len(categories) >= 2
+         OR (len(categories) >= 1 AND ({' OR '.join(f"contains(low, '{c}')" for c in X.CONNECTORS)})
+             AND len(regexp_extract_all(low, '[{WORD}]+')) >= 6) AS multi_issue
+  FROM ticket_noted
+)"""
+
+
 @query(sql("""
 SELECT count(*) AS total, count(*) FILTER (thin_text) AS thin_text,
        count(*) FILTER (multi_issue) AS multi_issue,
        count(*) FILTER (thin_text OR multi_issue) AS ambiguous,
        round(count(*) FILTER (thin_text OR multi_issue) / count(*), 4) AS ambiguous_fraction,
-       (SELECT string_agg(text, '|' ORDER BY doc_id)
-        FROM (SELECT * FROM flags WHERE multi_issue ORDER BY doc_id LIMIT 10)) AS examples
-FROM flags""", FLAGS_SQL))
+       (SELECT string_agg(descriptor, '|' ORDER BY id)
+        FROM (SELECT * FROM ticket_flags WHERE multi_issue ORDER BY id LIMIT 10)) AS examples
+FROM ticket_flags""", T.TICKETS_SQL, TICKET_FLAGS_SQL))
 def ambiguity_profile(spark, sf_dir):
-    return profile_ambiguity(_documents(spark, sf_dir), "doc_id", "text")
-
-
-def profile_ambiguity(df, key: str, text: str, max_examples: int = 10):
-    """Shares of thin and multi-issue texts with the first examples by key."""
-    flags = N.text_flags(df, text)
-    totals = flags.agg(
-        F.count("*").alias("total"),
-        F.count_if("thin_text").alias("thin_text"),
-        F.count_if("multi_issue").alias("multi_issue"),
-        F.count_if("ambiguous").alias("ambiguous"),
-        F.round(
-            F.coalesce(F.try_divide(F.count_if("ambiguous"), F.count("*")), F.lit(0.0)), 4
-        ).alias("ambiguous_fraction"),
-    )
-    shown = first_n(flags.filter("multi_issue").select(key, text), [key], max_examples)
-    examples = shown.agg(  # at most ``max_examples`` texts
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct(key, text))), lambda x: x[text]), "|"
-        ).alias("examples")
-    )
-    return totals.join(F.broadcast(examples))  # one row each
-
-
-# The words of these texts that some issue category can own.
-LOCAL_KEYWORDS = {"heat": ("heat", "boiler"), "tree": ("tree", "root"), "water": ("wat", "the ")}
+    profile = profile_ambiguity(T.tickets_table(T.tickets(spark, sf_dir)))
+    return profile.withColumn("examples", F.array_join("examples", "|"))
 
 
 HITS_SQL = f"""
 hits AS (
-  SELECT id, {category_sql("lower(complaint_type || ' ' || coalesce(descriptor, ''))", LOCAL_KEYWORDS)} AS c
+  SELECT id, {category_sql("lower(complaint_type || ' ' || coalesce(descriptor, ''))")} AS c
   FROM tickets
 )"""
 
 
 @query(sql("""
-SELECT id, list_aggregate(list_sort(list_distinct(list_transform(c, lambda x: CASE x
-         WHEN 'heat' THEN 'HPD' WHEN 'tree' THEN 'DPR' WHEN 'water' THEN 'DEP' END))),
-         'string_agg', ',') AS agencies, len(c) >= 2 AS is_multi
-FROM hits WHERE len(c) > 0""", T.TICKETS_SQL, HITS_SQL))
+SELECT id, coalesce(list_aggregate(list_sort(list_distinct(list_transform(c, lambda x: CASE x
+         WHEN 'water' THEN 'DEP' WHEN 'sewer' THEN 'DEP' WHEN 'structural' THEN 'DOB' WHEN 'heat' THEN 'HPD'
+         WHEN 'tree' THEN 'DPR' WHEN 'noise' THEN 'NYPD' ELSE 'DOT' END))), 'string_agg', ','), '') AS agencies,
+       len(list_distinct(list_transform(c, lambda x: CASE x
+         WHEN 'water' THEN 'DEP' WHEN 'sewer' THEN 'DEP' WHEN 'structural' THEN 'DOB' WHEN 'heat' THEN 'HPD'
+         WHEN 'tree' THEN 'DPR' WHEN 'noise' THEN 'NYPD' ELSE 'DOT' END))) >= 2 AS is_multi
+FROM hits""", T.TICKETS_SQL, HITS_SQL))
 def multi_agency(spark, sf_dir):
-    rows = N.multi_agency(T.tickets(spark, sf_dir), keywords=LOCAL_KEYWORDS)
-    return rows.filter(F.size("agencies") > 0).select(
-        "id", F.array_join("agencies", ",").alias("agencies"), "is_multi"
-    )
+    rows = N.multi_agency(T.tickets(spark, sf_dir))
+    return rows.select("id", F.array_join("agencies", ",").alias("agencies"), "is_multi")
 
 
 JURISDICTION_ROWS = [

@@ -84,8 +84,3 @@ def multi_agency(
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
-
-
-def token_slot(token: Column, dims: int) -> Column:
-    """Stable slot of a token: the first 32 bits of its MD5 modulo ``dims``."""
-    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % dims).cast("int")

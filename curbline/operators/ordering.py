@@ -43,8 +43,14 @@ def with_running(
 ) -> DataFrame:
     """Add running sums (inclusive) of ``measures`` in ``order`` within ``by``.
 
-    ``order`` must be unique within ``by``.
+    ``order`` must be unique within ``by``. Without ``by`` the rows are shuffled once:
+    see ``_scanned``.
     """
+    if not by:
+        typed = df.withColumns({f"_m_{k}": v for k, v in measures.items()})
+        kinds = {typed.schema[f"_m_{k}"].dataType.typeName() for k in measures}
+        if kinds <= {"long", "integer", "double"}:
+            return _scanned(typed, order, list(measures), ranges)
     laid = ranged(
         df.withColumns({f"_m_{k}": v for k, v in measures.items()}), [*by, *order], ranges
     )
@@ -71,6 +77,49 @@ def with_running(
     )
 
 
+def _scanned(df: DataFrame, order, names: list[str], ranges: int | None) -> DataFrame:
+    """Running sums of the columns ``_m_<name>`` over the whole table, with a single shuffle.
+
+    The rows lie sorted in ranges of the order. One row of sums per range comes to the
+    driver (as many as there are shuffle partitions), and every range adds its offset while
+    it is read in order. NULL measures add nothing.
+    """
+    laid = df.repartitionByRange(ranges or shuffle_width(df.sparkSession), *_cols(order))
+    laid = settle(laid.sortWithinPartitions(*_cols(order)).withColumn(RANGE, F.spark_partition_id()))
+    sums = laid.groupBy(RANGE).agg(*[F.coalesce(F.sum(f"_m_{k}"), F.lit(0)).alias(k) for k in names])
+    totals = {r[RANGE]: [r[k] for k in names] for r in sums.collect()}
+    offsets, upto = {}, [0] * len(names)
+    for part in sorted(totals):
+        offsets[part] = list(upto)
+        upto = [a + b for a, b in zip(upto, totals[part])]
+    kept = [c for c in df.columns if c not in {*names, *(f"_m_{k}" for k in names)}]
+    kinds = ["double" if laid.schema[f"_m_{k}"].dataType.typeName() == "double" else "bigint" for k in names]
+    schema = ", ".join(
+        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), *(f"`{k}` {t}" for k, t in zip(names, kinds))]
+    )
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if at is None:
+                at = list(offsets[batch.column(RANGE)[0].as_py()])
+            columns = []
+            for i, (k, kind) in enumerate(zip(names, kinds)):
+                wide = pa.float64() if kind == "double" else pa.int64()
+                values = batch.column(f"_m_{k}").cast(wide).fill_null(0).to_numpy(zero_copy_only=False)
+                running = np.cumsum(np.concatenate([[at[i]], values]))[1:]
+                at[i] = running[-1].item()
+                columns.append(pa.array(running, wide))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *names])
+
+    return laid.mapInArrow(run, schema)
+
+
 def with_rank(df: DataFrame, order, by=(), name: str = "rank", ranges=None) -> DataFrame:
     """Add the 1-based position in ``order`` within ``by``."""
     return with_running(df, order, {name: F.lit(1).cast("bigint")}, by, ranges)

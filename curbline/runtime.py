@@ -94,6 +94,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def appended(df: DataFrame, name: str, sql_type: str, make, drop: str | tuple = ()) -> DataFrame:
+    """``df`` with one more column, which ``make`` computes from Arrow batches; ``drop`` goes."""
+    import pyarrow as pa
+
+    gone = (drop,) if isinstance(drop, str) else drop
+    kept = [c for c in df.columns if c not in gone]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), make(batch)], names=[*kept, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
+    return df.mapInArrow(run, f"{schema}, `{name}` {sql_type}")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out a table that lies in fewer splits than there are cores.
 
