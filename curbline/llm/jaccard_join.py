@@ -1,7 +1,8 @@
 """Near-duplicate groups by Jaccard similarity of word shingles: a T-occurrence search.
 
-A document's set holds 64-bit hashes of its distinct ``size``-word shingles. Two sets link
-when 100 * intersection >= ``percent`` * union. The result is exact up to hash collisions.
+A document's set holds 64-bit hashes of its distinct ``size``-word shingles; words are hashed by
+XXH3 with a seed that is drawn anew for every job, so no text can be built to collide. Two sets link
+when 100 * intersection >= ``percent`` * union. The result is exact up to chance collisions.
 
 1. Equal sets are one set (its smallest id stands for them), so copies never meet.
 2. Filter. In a common order of shingles, two linked sets share at least l shingles among
@@ -20,17 +21,21 @@ when 100 * intersection >= ``percent`` * union. The result is exact up to hash c
 5. Components of the links.
 
 Defined results: NULL and empty texts have an empty set and link with nothing, not with each
-other; fewer words than ``size`` make one shingle of them all; rows with equal ids and texts
-count as one document; NULL ids get no component; other columns are ignored. ids are integers.
+other; fewer words than ``size`` make one shingle of them all; rows of one id are one document, which has
+the links of all their texts; NULL ids get no component; other columns are ignored. ids are integers.
+``deduplicate`` keeps of each group the rows of the smallest id, and all rows with NULL id.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import drawn_seed
 from .buffers import BASES, Rolling, blocks_of, folded, mixed, words_of
 from .common import fresh, stored
 from .components import components
@@ -43,11 +48,14 @@ SLOT = 400_000
 BROADCAST_SETS = 2_000_000
 
 
-def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int, seed: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
+    import xxhash
+
     data = folded(data)
     starts, stops, first = words_of(data, ends)
-    words = Rolling(data, BASES[0]).ranges(starts, stops)
+    raw, h = data.tobytes(), xxhash.xxh3_64_intdigest
+    words = np.fromiter((h(raw[a:b], seed) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts))
     rolling = Rolling(words, BASES[1])
     every = rolling.windows(size)
     out = []
@@ -70,18 +78,19 @@ def _spare(n):
 
 
 def _owner(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a whole set."""
-    at, to = np.array([0]), np.array([len(s)])
-    return tuple(int(Rolling(s, base).ranges(at, to).view(np.int64)[0]) for base in BASES)
+    """128 bits of a whole set as two integers."""
+    import xxhash
+
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes()))
 
 
-def described(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def described(docs: DataFrame, key: str, text: str, size: int, seed: int) -> DataFrame:
     """(id, n, h1, h2): size and hashes of every document's set."""
 
     def run(batches):
         for batch in batches:
             for part, data, ends in blocks_of(batch, text):
-                sets = shingle_sets(data, ends, size)
+                sets = shingle_sets(data, ends, size, seed)
                 hashes = [_owner(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -154,14 +163,14 @@ def _by_bucket(batches):
         yield held
 
 
-def shared_prefix_counts(docs: DataFrame, text: str, size: int, percent: int, buckets: int) -> DataFrame:
+def shared_prefix_counts(docs: DataFrame, text: str, size: int, percent: int, buckets: int, seed: int) -> DataFrame:
     """(h1, shared): how many elements of each set's prefix another set's prefix shares."""
 
     def send(batches):
         for batch in batches:
             for _, data, ends in blocks_of(batch, text):
                 sets = {}
-                for s in shingle_sets(data, ends, size):
+                for s in shingle_sets(data, ends, size, seed):
                     if len(s):
                         sets.setdefault(_owner(s)[0], s)
                 if not sets:
@@ -253,23 +262,26 @@ def _summed(batches):
         yield total(held)
 
 
-def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, n, set): the whole sets as packed integers."""
+def full_sets(docs: DataFrame, key: str, text: str, size: int, seed: int) -> DataFrame:
+    """(id, n, h1, h2, set): the whole sets as packed integers."""
 
     def run(batches):
         for batch in batches:
             for part, data, ends in blocks_of(batch, text):
-                sets = shingle_sets(data, ends, size)
+                sets = shingle_sets(data, ends, size, seed)
+                h1, h2 = zip(*map(_owner, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(key).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(h1, pa.int64()),
+                        pa.array(h2, pa.int64()),
                         pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    ["id", "n", "set"],
+                    ["id", "n", "h1", "h2", "set"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, "id long, n long, set binary")
+    return docs.select(key, text).mapInArrow(run, "id long, n long, h1 long, h2 long, set binary")
 
 
 def _packed_sets(bucket: np.ndarray, tokens: np.ndarray, owners: np.ndarray, ids: np.ndarray, sizes: np.ndarray, times: np.ndarray):
@@ -453,31 +465,47 @@ def linked_pairs(sets: DataFrame, families: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """(key, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
-    sets = stored(described(docs, key, text, size), "sets")
+    """(key, n_shingles, component_id) of every row."""
+    seed = drawn_seed()
+    sets = stored(described(docs, key, text, size, seed), "sets")
     whole = sets.where("n > 0 and id is not null")
-    # Equal sets are one; its smallest id stands for it.
-    distinct = stored(whole.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "distinct-sets")
+    # Equal sets are one node; its smallest id tells where to find the text.
+    distinct = whole.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    distinct = stored(distinct, "distinct-sets")
     prefix = distinct.agg(F.sum(F.col("n") * (1.1 - percent / 100) + 2).alias("t")).first()["t"] or 0
     buckets = max(16, int(prefix // BUCKET) + 1)
-    counts = shared_prefix_counts(docs, text, size, percent, buckets)
+    counts = shared_prefix_counts(docs, text, size, percent, buckets, seed)
     # A set may meet a smaller one, whose prefix promises fewer shared elements.
     smallest = F.ceil(F.col("n") * percent / 100)
     promised = F.greatest(F.lit(1), F.floor(smallest / 10))
-    left = stored(distinct.join(counts, "h1").where(F.col("shared") >= promised).select("rep"), "similar-sets")
-    few = left.count() <= BROADCAST_SETS
-    chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(left) if few else left, F.col("id") == F.col("rep"), "left_semi")
-    full = stored(full_sets(chosen, "id", "text", size).dropDuplicates(["id"]), "full-sets")
+    left = stored(distinct.join(counts, "h1").where(F.col("shared") >= promised).select("rep", "h1", "h2", "node"), "similar-sets")
+    hint = F.broadcast if left.count() <= BROADCAST_SETS else (lambda df: df)
+    known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    chosen = known.join(hint(left.select("rep").distinct()), F.col("id") == F.col("rep"), "left_semi")
+    found = full_sets(chosen, "id", "text", size, seed).join(hint(left), ["h1", "h2"]).where("id = rep")
+    full = stored(found.select(F.col("node").alias("id"), "n", "set").dropDuplicates(["id"]), "full-sets")
     rare = stored(rare_prefixes(full, percent, max(16, int((full.agg(F.sum("n").alias("t")).first()["t"] or 0) // BUCKET) + 1)), "rare")
     heads = rare.groupBy("token").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").select("token", "head")
     edges = rare.join(heads, "token").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     families = components(edges)
-    links = stored(linked_pairs(full, families, percent), "links")
-    groups = components(links)
-    roots = distinct.join(groups, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
-    rows = sets.join(roots, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    links = linked_pairs(full, families, percent)
+    again = stored(sets.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    repeated = bool(again.take(1))
+    if repeated:  # different texts of one id hang together
+        owned = stored(whole.join(again, "id", "left_semi").join(distinct, ["h1", "h2", "n"]).select("id", "node").distinct(), "owned-sets")
+        heads = owned.groupBy("id").agg(F.min("node").alias("a"))
+        links = links.unionByName(owned.join(heads, "id").select("a", F.col("node").alias("b")))
+    rooted = distinct.join(components(stored(links, "links")).withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    rooted = rooted.select("h1", "h2", "n", "rep", "node", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    rooted = rooted.join(least, "root").select("h1", "h2", "n", "node", "component")
+    rows = sets.join(rooted.drop("node"), ["h1", "h2", "n"], "left")
+    component = F.coalesce("component", "id")
+    if repeated:  # and their rows without words go along
+        named = owned.join(rooted, "node").groupBy(F.col("id").alias("named")).agg(F.min("component").alias("own"))
+        rows = rows.join(named, F.col("id") == F.col("named"), "left")
+        component = F.coalesce("component", "own", "id")
+    component = F.when(F.col("id").isNotNull(), component)
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
