@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sketches as K, traces as R
+from ..operators import calibration as B, sketches as K, traces as R
+from ..operators.areas import area_join
 from ..operators.keywords import with_keyword_categories
 from ..plans import tables as T
 from ..plans.tables import sql
@@ -115,3 +116,81 @@ def pinned_snapshots(spark, sf_dir):
         for name, df in readers.items()
     ]
     return parts[0].unionByName(parts[1])
+
+
+# Derived shapes: a five-cornered area per nation, shifted by its number; neighbours overlap.
+CORNERS = ((0.0, 0.0), (0.004, 0.001), (0.009, 0.0), (0.006, 0.0061), (0.002, 0.0072))
+CORNER_LAT = "40.5995 + ({n} % 5) * 0.0051 + {dy}"
+CORNER_LNG = "-74.0005 + ({n} // 5) * 0.0037 + {dx}"
+
+
+def _corner(n: str, i: int, engine: str) -> str:
+    dy, dx = CORNERS[i]
+    lat, lng = CORNER_LAT.format(n=n, dy=dy), CORNER_LNG.format(n=n, dx=dx)
+    if engine == "spark":
+        lng = lng.replace(f"({n} // 5)", f"({n} div 5)")
+        return f"named_struct('lat', CAST({_double(lat)} AS DOUBLE), 'lng', CAST({_double(lng)} AS DOUBLE))"
+    return f"{{'lat': CAST({_double(lat)} AS DOUBLE), 'lng': CAST({_double(lng)} AS DOUBLE)}}"
+
+
+def _double(text: str) -> str:
+    """Literals as doubles, so that both engines add the same numbers."""
+    import re
+
+    return re.sub(r"(?<![\w.])(\d+\.\d+)", r"CAST(\1 AS DOUBLE)", text)
+
+
+AREAS_SQL = f"""
+shapes AS (
+  SELECT n_nationkey AS area, [{", ".join(_corner("n_nationkey", i, "duck") for i in range(len(CORNERS)))}] AS ring FROM nation
+), edges AS (
+  SELECT area, ring[i].lat AS ay, ring[i].lng AS ax, ring[i % 5 + 1].lat AS by, ring[i % 5 + 1].lng AS bx
+  FROM shapes, range(1, 6) r(i)
+), spots AS (
+  SELECT DISTINCT latitude, longitude FROM tickets
+), holding AS (
+  SELECT latitude, longitude, min(area) AS area FROM (
+    SELECT s.latitude, s.longitude, e.area FROM spots s, edges e
+    WHERE (e.ay > s.latitude) <> (e.by > s.latitude)
+      AND s.longitude < (e.bx - e.ax) * (s.latitude - e.ay) / (e.by - e.ay) + e.ax
+    GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1) GROUP BY 1, 2
+)"""
+
+
+@query(sql("""
+SELECT t.id, coalesce(h.area, -1) AS area FROM tickets t
+LEFT JOIN holding h ON h.latitude = t.latitude AND h.longitude = t.longitude""", T.TICKETS_SQL, AREAS_SQL))
+def ticket_areas(spark, sf_dir):
+    """The area of every ticket by its place."""
+    ring = "array(" + ", ".join(_corner("n_nationkey", i, "spark") for i in range(len(CORNERS))) + ")"
+    areas = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("area"), F.expr(ring).alias("ring"))
+    found = area_join(T.bare_tickets(spark, sf_dir), areas, "area")
+    return found.select("id", F.coalesce("area", F.lit(-1)).alias("area"))
+
+
+ROLLING_SQL = """
+days AS (
+  SELECT DISTINCT CAST(ts AS DATE) AS day FROM scored
+), within AS (
+  SELECT d.day, s.conf AS s, count(*) AS n, count(*) FILTER (s.correct) AS c
+  FROM days d JOIN scored s ON CAST(s.ts AS DATE) BETWEEN d.day - 6 AND d.day GROUP BY 1, 2
+), run AS (
+  SELECT day, s, sum(n) OVER w AS n1, sum(c) OVER w AS c1, sum(n) OVER w - n AS n0, sum(c) OVER w - c AS c0, n
+  FROM within WINDOW w AS (PARTITION BY day ORDER BY s)
+), lower_means AS (
+  SELECT a.day, a.s AS a, i.s AS i, min((b.c1 - a.c0) / (b.n1 - a.n0)) AS m
+  FROM run a JOIN run i ON a.day = i.day AND a.s <= i.s JOIN run b ON b.day = i.day AND b.s >= i.s GROUP BY 1, 2, 3
+), fitted AS (
+  SELECT day, i AS s, round(max(m), 9) AS fitted FROM lower_means GROUP BY 1, 2
+)"""
+
+
+@query(sql("""
+SELECT CAST(f.day AS VARCHAR) AS day, round(min(f.s), 9) AS lo, round(max(f.s), 9) AS hi, fitted, CAST(sum(r.n) AS BIGINT) AS weight
+FROM fitted f JOIN run r ON r.day = f.day AND r.s = f.s GROUP BY f.day, fitted""", T.SCORED_SQL, ROLLING_SQL))
+def rolling_fit(spark, sf_dir):
+    """A calibration for every day from the blocks of its week; rows are read once, for the daily blocks."""
+    rows = T.scored(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    fits = B.rolling_isotonic(B.score_blocks(rows, "conf", "correct", ["day"]), "day", 7)
+    rounded = {c: F.round(c, 9) for c in ("lo", "hi", "fitted")}
+    return fits.withColumns(rounded).withColumn("day", F.col("day").cast("string"))

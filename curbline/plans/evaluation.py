@@ -12,6 +12,7 @@ from ..operators.calibration import apply_isotonic, ece, fit_isotonic
 from ..operators.metrics import CHEAP_MIN, false_confidence, macro_f1, ratio
 from ..operators.ordering import first_n, temporal_split
 from ..operators.routing import gate, select_tier
+from ..operators.similarity import RECALL
 from ..operators.voting import K, MAX_DISTANCE, cheap_tier
 from ..runtime import settle
 
@@ -37,12 +38,22 @@ def judged_tickets(
     as_of: str | None = None,
     sample: int | None = None,
     cheap_min: float = CHEAP_MIN,
+    method: str = "exact",
+    recall: float = RECALL,
 ) -> DataFrame:
     """Every labelled ticket with its cheap and final prediction, calibrated and gated.
 
+    Tickets without a vector and, where ``duplicate_of`` or ``status`` tells, duplicates are neither judged
+    nor neighbours.
+
     The earlier half fits the calibrator and keeps ``part = 'calib'``. One
     neighbour search serves both the cheap tier and the cascade.
     """
+    tickets = tickets.filter(F.col("vector").isNotNull())
+    if "duplicate_of" in tickets.columns:
+        tickets = tickets.filter(F.col("duplicate_of").isNull())
+    if "status" in tickets.columns:
+        tickets = tickets.filter(~F.col("status").eqNullSafe(F.lit("DUPLICATE")))
     subjects = tickets
     if sample is not None:
         subjects = first_n(
@@ -51,7 +62,9 @@ def judged_tickets(
     truth = clean_code(F.col("agency"))
     subjects = subjects.withColumn("truth", truth).filter(F.col("truth").isNotNull())
     # Used by the cascade and by the cheap tier's own figures: search once.
-    cheap = settle(cheap_tier(subjects, tickets, key, "vector", k, max_distance, as_of=as_of))
+    cheap = settle(
+        cheap_tier(subjects, tickets, key, "vector", k, max_distance, as_of=as_of, method=method, recall=recall)
+    )
     final = select_tier(cheap, *tiers, key=key, cheap_min=cheap_min)
     rows = (
         multi_agency(subjects.select(key, "created_date", "truth", "complaint_type", "descriptor"))
