@@ -63,6 +63,12 @@ def current(spark: SparkSession, root: str) -> str:
     return text
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    """Whether anything has been published below ``root``."""
+    fs, _, path = _hadoop(spark, root)
+    return fs.exists(path(f"{root}/{POINTER}"))
+
+
 def versions(spark: SparkSession, root: str) -> list[str]:
     """All complete versions, the oldest first."""
     fs, _, path = _hadoop(spark, root)

@@ -37,6 +37,7 @@ def test_warc_round_trip(spark, tmp_path):
         (6, "u", None, None),
         (7, "u", "", None),
         (8, "u", "é" * 300_000, None),
+        (9, "u" * 300_000, "long address", None),
         (None, "u", BODY, None),
     ]
     found = warc.read(warc.write(pages(spark, rows), shared_folder(spark, "warc")), payloads=True).collect()
@@ -329,3 +330,25 @@ def test_quality_of_odd_rows(spark, odd, none):
 def test_queries_are_all_there():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES if q.startswith("op")}
     assert "pipeline" in queries.QUERIES
+
+
+def test_ties_among_neighbours_go_to_the_earlier_row():
+    features = 16
+    rows = np.ones((50, features + classifier.SHAPES), np.float32)
+    labels = np.array([1.0] * 15 + [0.0] * 35, np.float32)
+    axes = np.eye(features + classifier.SHAPES, dtype=np.float32)
+    idf = np.ones(features, np.float32)
+    vectors = classifier._unit(classifier.weighted_terms(rows, idf).astype(np.float64))
+    model = classifier.Model(idf, axes, vectors, labels, 0.5, 15)
+    for n in (1, 3, 700):
+        assert np.all(classifier.votes(model, rows[:1].repeat(n, axis=0)) == 1.0)
+
+
+def test_decontamination_judges_rows_by_id_and_text(spark):
+    passage = " ".join(f"b{i}" for i in range(20))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(1, passage), (1, "clean words"), (None, passage), (None, "other words"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(repr, decontamination.decontaminate(docs, items).collect())) == sorted(
+        map(repr, docs.where("text is null or text like '% words'").collect())
+    )
