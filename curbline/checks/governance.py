@@ -155,7 +155,7 @@ def split_rejections(spark, sf_dir):
 SELECT event_id, ts, path FROM scored
 WHERE ts >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAYS
   AND (path = 'agent'
-       OR CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 1000)""", T.SCORED_SQL))
+       OR CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) < 429496730)""", T.SCORED_SQL))
 def trace_retention(spark, sf_dir):
     rows = T.scored(spark, sf_dir).select("event_id", "ts", "path")
     return G.retain(rows, "ts", "event_id", F.lit("2024-02-10").cast("timestamp_ntz"), days=30)

@@ -409,7 +409,7 @@ def field_profile(spark, sf_dir):
 
 @query("""
 SELECT event_type, event_id, props FROM events
-WHERE CAST('0x' || substr(md5(event_type || '|' || event_id), 1, 8) AS BIGINT) % 10000 < 200""")
+WHERE CAST('0x' || substr(md5(event_type || '|' || event_id), 1, 8) AS BIGINT) < 85899346""")
 def field_sample(spark, sf_dir):
     rows = T.table(spark, sf_dir, "events").select("event_type", "event_id", "props")
     return stratified_sample(rows, "event_type", "event_id", 0.02)

@@ -173,9 +173,14 @@ def expand_splits(proposals: DataFrame, cap: int = SPLIT_CAP) -> tuple[DataFrame
 
 
 def part_of(*keys: Column) -> Column:
-    """A number from 0 to 9,999 that depends on the keys' text alone, the same in any engine."""
+    """A number of 32 bits that depends on the keys' text alone, the same in any engine."""
     text = F.concat_ws("|", *[k.cast("string") for k in keys])
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 10_000).cast("int")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def chosen(share: float, *keys: Column) -> Column:
+    """Whether the keys are among a ``share`` of all, in steps of 2**-32."""
+    return part_of(*keys) < F.lit(round(share * 2**32)).cast("bigint")
 
 
 def retain(
@@ -183,8 +188,7 @@ def retain(
 ) -> DataFrame:
     """Traces within ``days``: agent traces whole, fast ones by a share of tickets."""
     fresh = df.filter(F.col(ts) >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
-    chosen = part_of(F.col(key)) < int(fast_share * 10_000)
-    return fresh.filter((F.col("path") == "agent") | chosen)
+    return fresh.filter((F.col("path") == "agent") | chosen(fast_share, F.col(key)))
 
 
 def due_dates(drafts: DataFrame, policy: DataFrame) -> DataFrame:

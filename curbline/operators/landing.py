@@ -188,6 +188,9 @@ def missing_vectors(
 
 
 def upsert_vectors(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """New vectors replace those of the same ticket; of several new ones the latest counts."""
+    order = [c for c in ("created_at", "model", "vector") if c in new.columns]
+    new = _latest(new, "ticket_id", F.struct(*order), F.max_by)
     kept = existing.join(new.select("ticket_id"), "ticket_id", "left_anti")
     return kept.unionByName(new.select(existing.columns))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .governance import part_of
+from .governance import chosen
 from .metrics import lagged, ratio
 from .ordering import exact_quantiles, with_running
 
@@ -245,4 +245,4 @@ def field_inventory(df: DataFrame, columns: list[str], top: int = 3) -> DataFram
 
 def stratified_sample(df: DataFrame, by: str, key: str, share: float) -> DataFrame:
     """A reproducible share of every stratum, chosen by key hash."""
-    return df.filter(part_of(F.col(by), F.col(key)) < int(share * 10_000))
+    return df.filter(chosen(share, F.col(by), F.col(key)))

@@ -192,3 +192,20 @@ def test_ambiguity_profile_leaves_duplicates_out(rows):
     data = [("1", long, "INGESTED"), ("2", "x", None), ("3", long, "DUPLICATE"), ("4", None, "DRAFTED")]
     got = profile_ambiguity(rows(data, "id string, descriptor string, status string")).first()
     assert (got.total, got.thin_text, got.multi_issue, got.examples) == (3, 2, 1, [long])
+
+
+def test_small_shares_keep_their_share(rows):
+    from curbline.operators.governance import chosen
+    from curbline.operators.routing import route
+
+    df = rows([(i,) for i in range(200_000)], "id long")
+    assert 3 <= df.filter(chosen(0.00005, F.col("id"))).count() <= 25
+    gated = rows([("a", "DEP", "Sewer", 0.9, "fast", "g1"), ("a", "DOT", "Sewer", 0.9, "fast", "g1"), ("a", None, "Sewer", 0.1, "agent", "g1")],
+                 "id string, agency string, complaint_type string, calibrated double, path string, gate_version string")
+    assert route(gated).select("id").distinct().count() == 3
+
+
+def test_days_without_rows_are_not_reported(rows):
+    day = lambda d: datetime(2024, 1, d)
+    df = rows([(day(1), 0.9, True), (day(4), 0.1, True)], "ts timestamp, conf double, ok boolean")
+    assert [str(r.day) for r in C.rolling_ece(df, "ts", "conf", "ok").orderBy("day").collect()] == ["2024-01-01", "2024-01-04"]
