@@ -4,13 +4,13 @@ A text's key is a 64-bit hash of its normal form (A-Z in lower case). The direct
 key prefixes to buckets. It starts with one bucket; an overfull bucket (more bytes of
 distinct texts than ``capacity``) splits by its next bit, and the directory doubles where
 that needs a longer prefix. The driver holds one directory row per bucket, so ``capacity`` should
-grow with corpora of many terabytes. Sizes come from counts by prefix, so the driver sees numbers of
-prefixes, never keys of documents.
+grow with corpora of many terabytes. Sizes come from counts by prefix, for overfull buckets only and at most
+``FETCHED`` (or two per overfull bucket) in a round, so the driver sees numbers of prefixes, never keys of documents.
 
 Each bucket, a key range, has one owner task. Owners read their range in key order and hold
 one collision chain at a time: texts with equal keys are told apart by comparing bytes.
-Copies are combined within each batch before the shuffle, so a text that a third of all rows
-repeat reaches its owner as one row per batch. The index stores every distinct text, so
+Copies are combined in every task before the shuffle, in stretches of up to ``COMBINED`` bytes of
+distinct texts, so a text that a third of all rows repeat reaches its owner once per stretch. The index stores every distinct text, so
 ``extend`` can add documents: only buckets that get entries or split are written anew.
 
 Documents find their entry again by SHA-256 in a join that Spark can split under skew; the
@@ -18,7 +18,8 @@ owners raise if two different texts ever share a digest.
 
 Defined results: NULL counts as empty; NULL keys are smaller than any other key and a group
 of NULL keys only keeps NULL; of rows with equal text and equal largest key every one counts
-as kept; an empty table gives no rows; other columns are ignored.
+as kept; rows with equal keys and other texts are judged by their own texts; an empty table gives no
+rows; other columns are ignored. ``deduplicate`` keeps the rows that count as kept.
 """
 
 from __future__ import annotations
@@ -33,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buffers import blocks_of, folded
-from .common import fresh, opened, shared_folder
+from .common import UPPER, fresh, opened, shared_folder
 
-#: Bits by which one round of counts looks further into the keys.
+#: Most bits by which one round of counts looks further into the keys, and counts it may fetch.
 STEP = 12
+FETCHED = 1 << 16
+#: Bytes of distinct texts that a task combines before it sends them.
+COMBINED = 32 << 20
 ENTRY = "bucket long, key long, sha binary, keep long, n long, text binary"
 
 
@@ -91,19 +95,24 @@ def sizes_by_key(docs: DataFrame, text: str) -> DataFrame:
 def split_directory(sizes: DataFrame, capacity: int, start: list[tuple[int, int]] = ((0, 0),)) -> list[tuple[int, int]]:
     """(first key, depth) of buckets that hold at most ``capacity`` bytes, or a single prefix of all bits.
 
-    Each round counts bytes by prefixes ``STEP`` bits longer than the buckets that are
-    still overfull, and splits them bit by bit on those counts.
+    Each round counts bytes by longer prefixes of the buckets that are still overfull, and
+    splits them bit by bit on those counts. The more are overfull, the shorter the step.
     """
     done, open_ = [], [(first, depth) for first, depth in start]
     while open_:
-        depth = min(max(d for _, d in open_) + STEP, 63)
+        step = max(1, min(STEP, (FETCHED // len(open_)).bit_length() - 1))
+        depth = min(max(d for _, d in open_) + step, 63)
         prefix = F.shiftrightunsigned("key", 64 - depth)
         rows = sizes
-        if len(open_) < 256 and open_ != [(0, 0)]:  # leave out what is settled
-            inside = F.lit(False)
-            for first, d in open_:
-                inside = inside | (F.shiftrightunsigned("key", 64 - d) == (first >> (64 - d)) if d else F.lit(True))
-            rows = sizes.where(inside)
+        if open_ != [(0, 0)]:  # leave out what is settled
+            kept = None
+            for d in sorted({d for _, d in open_}):
+                inside = sizes
+                if d:
+                    own = sizes.sparkSession.createDataFrame([(first >> (64 - d),) for first, e in open_ if e == d], "inside long")
+                    inside = sizes.join(F.broadcast(own), F.shiftrightunsigned("key", 64 - d) == F.col("inside"), "left_semi")
+                kept = inside if kept is None else kept.unionByName(inside)
+            rows = kept
         counts = {r["p"]: r["b"] for r in rows.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("b")).collect()}
         prefixes = np.array(sorted(counts), np.uint64)
         sums = np.concatenate(([0], np.cumsum([counts[int(p)] for p in prefixes])))
@@ -128,27 +137,39 @@ def _combined(docs: DataFrame, directory: list[tuple[int, int]], key: str, text:
     """Entries with their bucket, copies within a block already one row."""
     starts = np.array([first for first, _ in directory], np.uint64)
 
+    def sent(found):
+        keys = np.array(_keys(list(found)), np.uint64)
+        bucket = starts[np.searchsorted(starts, keys, side="right") - 1]
+        columns = [
+            pa.array(bucket.view(np.int64)),
+            pa.array(keys.view(np.int64)),
+            pa.array([None] * len(found), pa.binary()),
+            pa.array([v[0] for v in found.values()], pa.int64()),
+            pa.array([v[1] for v in found.values()], pa.int64()),
+            pa.array(list(found), pa.binary()),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, ["bucket", "key", "sha", "keep", "n", "text"])
+        for at in range(0, len(found), 1024):
+            yield whole.slice(at, 1024)
+
     def run(batches):
+        found: dict[bytes, list] = {}
+        size = 0
         for batch in batches:
             for part, texts in normal_texts(batch, text):
-                found: dict[bytes, list] = {}
                 for t, i in zip(texts, part.column(key).to_pylist(), strict=True):
-                    have = found.setdefault(t, [i, 0])
+                    have = found.get(t)
+                    if have is None:
+                        found[t] = [i, 1]
+                        size += len(t) + 100
+                        continue
                     have[0] = i if have[0] is None or (i is not None and i > have[0]) else have[0]
                     have[1] += 1
-                keys = np.array(_keys(list(found)), np.uint64)
-                bucket = starts[np.searchsorted(starts, keys, side="right") - 1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket.view(np.int64)),
-                        pa.array(keys.view(np.int64)),
-                        pa.array([None] * len(found), pa.binary()),
-                        pa.array([v[0] for v in found.values()], pa.int64()),
-                        pa.array([v[1] for v in found.values()], pa.int64()),
-                        pa.array(list(found), pa.binary()),
-                    ],
-                    ["bucket", "key", "sha", "keep", "n", "text"],
-                )
+                if size > COMBINED:
+                    yield from sent(found)
+                    found, size = {}, 0
+        if found:
+            yield from sent(found)
 
     return docs.select(key, text).mapInArrow(run, ENTRY)
 
@@ -265,6 +286,9 @@ def groups(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of equal texts, with the columns it came with."""
-    index, gone = build(docs, shared_folder(docs.sparkSession, "exact"), key, text), fresh(docs, "gone")
-    drop = groups(docs, index, key, text).where(~F.col("kept")).select(F.col(key).alias(gone))
-    return docs.join(drop, F.col(key) == F.col(gone), "left_anti")
+    index = build(docs, shared_folder(docs.sparkSession, "exact"), key, text)
+    gone, digest = fresh(docs, "gone"), fresh(docs, "digest")
+    drop = groups(docs, index, key, text).where(~F.col("kept"))
+    drop = drop.select(F.col(key).alias(gone), F.col("text_sha256").alias(digest)).distinct()
+    own = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower()).cast("binary"), 256)
+    return docs.join(drop, F.col(key).eqNullSafe(F.col(gone)) & (own == F.col(digest)), "left_anti")
