@@ -5,7 +5,9 @@ weighted by inverse document frequency, and of shape terms: how much it compress
 share of signs, of digits, and of words that repeat the word before, each as a scale of
 steps. The vector is projected on the leading singular vectors of the labelled sample. Its score is the mean label of its ``k`` most similar labelled
 vectors by cosine, weighted by similarity. The products are exact: every document against
-every labelled vector, in blocks; nothing is approximated or skipped.
+every labelled vector, in blocks of 64-bit floats; nothing is approximated or skipped.
+Similarities are compared after rounding to 2**-24, so that neither block sizes nor the
+order of sums decide between neighbours.
 
 The only bounded part is the sample of labelled rows (``sample`` rows with the smallest
 hash of the key; a documented parameter of the fit). Model and vectors are of fixed size
@@ -153,7 +155,7 @@ def fit(
     idf = np.log((1 + len(counts)) / (1 + (counts[:, :-SHAPES] > 0).sum(axis=0))).astype(np.float32) + 1
     weighted = weighted_terms(counts, idf)
     axes = _leading_axes(weighted, min(dims, *weighted.shape))
-    return Model(idf, axes, _unit(weighted @ axes), target, float(target.mean()), k)
+    return Model(idf, axes, _unit(weighted.astype(np.float64) @ axes), target, float(target.mean()), k)
 
 
 def _leading_axes(rows: np.ndarray, dims: int, rounds: int = 4) -> np.ndarray:
@@ -168,7 +170,7 @@ def _leading_axes(rows: np.ndarray, dims: int, rounds: int = 4) -> np.ndarray:
 
 def votes(model: Model, counts: np.ndarray) -> np.ndarray:
     """Scores of rows of counts: the similarity-weighted mean label of the nearest k."""
-    vectors = _unit(weighted_terms(counts, model.idf) @ model.axes)
+    vectors = _unit(weighted_terms(counts, model.idf).astype(np.float64) @ model.axes.astype(np.float64))
     scores = np.full(len(counts), model.prior)
     filled = np.flatnonzero(np.abs(vectors).sum(axis=1) > 0)
     k = min(model.k, len(model.labels))
@@ -178,8 +180,10 @@ def votes(model: Model, counts: np.ndarray) -> np.ndarray:
         if len(block) == 0:
             continue
         near = vectors[block] @ model.vectors.T
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6) ** 4
+        # Unique integers: of equal similarities the earlier row is the larger one.
+        rank = np.rint(near * 2.0**24).astype(np.int64) * len(model.labels) - np.arange(len(model.labels))
+        top = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+        weight = np.maximum(np.round(np.take_along_axis(near, top, axis=1), 6), 1e-6) ** 4
         scores[block] = (weight * model.labels[top]).sum(axis=1) / weight.sum(axis=1)
     return np.clip(scores, 0.0, 1.0)
 

@@ -14,7 +14,7 @@ All explodes are outer ones: over a plain explode Spark infers a filter on the a
 and evaluates the whole splitting again below the projection, once per element.
 
 Defined results: a NULL or empty text has no words and is never hit; rows with equal id
-and text count as one document, rows with equal id and different texts as several; an
+and text count as one document, rows with equal or NULL id and different texts as several; an
 empty benchmark hits nothing; other columns of either table are ignored.
 """
 
@@ -89,8 +89,8 @@ def contamination(
     """(key, n_words, n_hit, items) per document.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items`` lists the items
-    with occurring windows, sorted. ``positions`` adds ``hit``, the places of those words, and
-    ``version``, the hash of the text.
+    with occurring windows, sorted. ``positions`` adds ``hit``, the places of those words.
+    ``version`` is the hash of the text, which tells rows of one key apart.
     """
     windows = benchmark_windows(benchmark, n, item, item_text)
     # One row: the number of windows and the window lengths, at most n of them.
@@ -139,9 +139,9 @@ def contamination(
         F.array_distinct(F.flatten(F.collect_list(hit))).alias("_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    columns = [F.col("_id").alias(key), "n_words", F.size("_hit").alias("n_hit"), "items"]
+    columns = [F.col("_id").alias(key), "n_words", F.size("_hit").alias("n_hit"), "items", F.col("_version").alias("version")]
     if positions:
-        columns += [F.col("_hit").alias("hit"), F.col("_version").alias("version")]
+        columns.append(F.col("_hit").alias("hit"))
     return out.select(*columns)
 
 
@@ -175,12 +175,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     if action not in ("document", "span"):
         raise ValueError("action is 'document' or 'span'")
     found = contamination(docs, benchmark, n, key, positions=action == "span").where(F.col("n_hit") > 0)
-    if action == "document":
-        drop = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(key).distinct()
-        return docs.join(drop, key, "left_anti")
     other, hit, version = (fresh(docs, c) for c in ("other", "hit", "version"))
+    same = F.col(key).eqNullSafe(F.col(other)) & (F.xxhash64("text") == F.col(version))
+    if action == "document":
+        drop = found.where(contaminated(F.col("n_hit"), F.col("n_words")))
+        return docs.join(drop.select(F.col(key).alias(other), F.col("version").alias(version)).distinct(), same, "left_anti")
     found = found.select(F.col(key).alias(other), F.col("hit").alias(hit), F.col("version").alias(version))
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col(other)) & (F.xxhash64("text") == F.col(version)), "left")
+    joined = docs.join(found, same, "left")
     whole = F.array_remove(F.split(F.coalesce("text", F.lit("")), SEPARATOR_ANY_CASE), "")
     left = F.array_join(F.filter(whole, lambda w, i: ~F.array_contains(F.col(hit), i)), " ")
     clean = F.when(F.col(hit).isNotNull(), left).otherwise(F.col("text"))

@@ -8,7 +8,7 @@ size and returns manifest rows, so archives of lost or repeated attempts are nev
 
 The reader decompresses incrementally, takes as many bytes as Content-Length says, checks
 that the record and its gzip member end there, and verifies block and payload digests. It
-holds one chunk at a time, and a payload only where payloads are asked for.
+holds one chunk at a time, a header of any length, and a payload only where payloads are asked for.
 
 Defined results: a NULL payload is empty; NULL keys are read back as NULL and are responses
 only if their group has no other key; equal keys with equal payloads are all responses; an
@@ -135,8 +135,10 @@ class Records:
 
     def _line_block(self) -> bytes:
         """Bytes up to and without the next empty line."""
-        while (at := self.plain.find(b"\r\n\r\n")) < 0:
-            if len(self.plain) > CHUNK or not self._more():
+        seen = 0
+        while (at := self.plain.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(self.plain) - 3)
+            if not self._more():
                 raise WarcError("record without the end of its header")
         out, self.plain = self.plain[:at], self.plain[at + 4 :]
         return out
