@@ -5,7 +5,9 @@ read again as the next stage's ``docs``. All but the last return the columns of
 
 Defined results for odd input: an empty table passes through as an empty one; NULL and empty
 texts are scored by the share of good labels, are equal texts to each other, near none, never
-contaminated, and encode to no ids; rows with a NULL id are never dropped as duplicates.
+contaminated, and encode to no ids; a row with a NULL id goes where its very text has a row with
+an id or is contaminated, and is never a near duplicate; rows of one id are one document to the
+near-duplicate stage, and are judged by their own texts by the others.
 """
 
 from __future__ import annotations
