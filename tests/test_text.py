@@ -117,3 +117,22 @@ def test_pair_distance(rows):
     got = {r["id"]: r["distance"] for r in pair_distances(df, "id").collect()}
     assert got[1] == 0 and got[2] == 1 and got[3] == 1
     assert got[4] == pytest.approx(1 - 2 / 5**0.5, abs=1e-8)
+
+
+def test_masks_and_ends_are_looked_for_only_where_they_can_be(spark):
+    """The guarded forms equal the plain patterns, also with other digits, spaces and line ends."""
+    from pyspark.sql import functions as F
+
+    from curbline.functions import redaction as R, text as X
+
+    texts = ["", " ", "a@b.co x", "\u2028a@b.co \n", ": x: \n", "x :\r\n", "\u00a0x\u00a0", ":: \u0085", "x:\u2028", "x: \x1c", "call 212-555-1234\u2029",
+             "\u0662\u0661\u0662 555 \u0661\u0662\u0663\u0664", "(212)5551234", "212\u00a05551234", "12 main st\n", None]
+    df, plain = spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t")
+    for _, pattern, token in R.MASKS:
+        plain = F.regexp_replace(plain, pattern, token)
+    cut = F.regexp_replace(F.concat(F.lit(": "), F.coalesce("t", F.lit(""))), "^[: ]+|[: ]+$", "")
+    for got, want in ((R.masked(F.col("t")), plain), (X.strip(F.col("t")), F.regexp_replace("t", r"(?U)^\s+|\s+$", "")),
+                      (X.ticket_text(F.lit(None), F.col("t")), F.regexp_replace(cut, r"(?U)^\s+|\s+$", ""))):
+        assert df.filter(~got.eqNullSafe(want)).count() == 0
+    kept = df.select(R.masked(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in kept.lower()
